@@ -30,16 +30,25 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The public byte-to-letter table of byte-level vocabularies: printable Latin-1 bytes stand for
+    themselves, the others for the letters from U+0100 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class WordIds(dict):
     """Token ids (little-endian unsigned 32-bit) of white-space-separated words, kept for two
     generations of at most `keep` words. The tokenizer drops white space and no token spans it, so a
     text's ids are its words' ids one after another."""
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.keep, self.old = Tokenizer.from_file(path).encode, keep, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.keep, self.old = tokenizer.encode, tokenizer.model.tokenize, keep, {}
+        self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -54,9 +63,16 @@ class WordIds(dict):
             stem = word[:-1].decode("utf-8", "replace")
             if stem[-1].isalpha():  # a letter and a stop are never in one token
                 return self[word[:-1]] + self[word[-1:]]
-        if word.isascii() and not word.islower() and (low := word.lower()) != word and b"<|" not in word:
-            return self[low]
-        ids = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        plain = word.decode("utf-8", "replace")
+        if plain.isalpha() and max(plain) < "\u0250" and "\u0130" not in plain:
+            # Latin letters alone are one piece of text, composed already and lower-cased one by one:
+            # what normalising and splitting leave is the word itself, so the model can be asked at once.
+            low = plain.lower()
+            if len(low) != len(plain) or low != plain and low.encode() != word:
+                return self[low.encode()]
+            ids = [t.id for t in self.model(plain if word.isascii() else word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.encode(plain, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, value: bytes | None) -> bytes:
@@ -66,6 +82,16 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (value or b"").split()))
 
 
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The one of this process: a worker's later tasks find the words of earlier ones."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
+
+
 class _Pieces:
     """mapInArrow function: a row for each piece of each document."""
 
@@ -73,7 +99,7 @@ class _Pieces:
         self.path, self.doc_id, self.text, self.capacity = path, doc_id, text, capacity
 
     def __call__(self, batches):
-        tokenizer, closing, cap = WordIds(self.path or vocabulary_path()), struct.pack("<I", CLOSING_ID), self.capacity
+        tokenizer, closing, cap = word_ids(self.path or vocabulary_path()), struct.pack("<I", CLOSING_ID), self.capacity
         for batch in batches:
             texts = utf8_values(batch.column(self.text))
             row, start, length, crc, total = [], [], [], [], []
