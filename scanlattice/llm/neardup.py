@@ -3,7 +3,8 @@
 Two collections of m half-keys (each of a few minhash values) are computed for a document; table
 (i, j) is keyed by half-key i of the first and j of the second, so m*m tables cost 2m half-keys.
 Documents with equal shingle sets are one node from the start. In every bucket the members are
-compared with one centre only, first; then, where a bucket still holds several components, the
+compared with one centre only, first; then, where a bucket still holds several components, members
+whose own shingles rule out any link are set aside, and the
 members outside its largest component are compared with those of other components. Pairs in one
 component need no comparison, so this finds the same components as comparing all pairs of a bucket.
 Every link is confirmed on the full shingle sets.
@@ -24,6 +25,8 @@ from .components import components
 SHINGLE = 5
 SIDE = 8
 HALF = 2
+#: Bits of the one-bit minhash sketches that come before the comparison of left-over pairs.
+SKETCH = 1024
 #: Documents compared with one centre in one task before the next task takes over.
 CHUNK = 256
 
@@ -128,7 +131,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A document without words, or with null text, has no shingles and is linked with nothing. Repeated
     rows are one node and are each returned; a doc_id that repeats with other texts is one node with
     the links of all of them. A null doc_id is linked with nothing and has a null component. Extra
-    columns are not read. A pair at the threshold shares none of the 64 tables with probability below 1e-4."""
+    columns are not read. A pair at the threshold shares none of the 64 tables with probability below 1e-4.
+    Within a bucket that still holds several components after the first round, sketches of all members
+    outside the largest component are compared (in the join, by XOR of longs); few pairs leave it."""
     ship(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(source.mapInArrow(_Signatures("doc_id", "text"), "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"), "signatures")
@@ -150,27 +155,86 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeats = sets.join(classes, "digest").where("doc_id != doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
     first = components(links.union(repeats))
 
-    second = written(compared(_left_over(shared, seen, first, percent), texts), "compared")
+    second = written(compared(_left_over(shared, seen, first, texts, percent), texts), "compared")
     more = second.where(linked).select(F.col("doc").alias("u"), F.col("centre").alias("v"))
     joined = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     out = signed.select("doc_id", "n_shingles").join(joined, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _left_over(shared: DataFrame, seen: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+class _Explode:
+    """mapInArrow function: (doc, size of its set, shingle)."""
+
+    def __call__(self, batches):
+        for batch in batches:
+            docs = batch.column("doc").to_numpy(zero_copy_only=False)
+            for doc, s in zip(docs, shingle_sets(utf8_values(batch.column("text")))):
+                for at in range(0, len(s), 1 << 18):
+                    part = s[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(s))), pa.array(part.view(np.int64))], ["doc", "n", "shingle"])
+
+
+class _Sketch:
+    """mapInArrow function: (doc, SKETCH bits), each the lowest bit of a minhash value of its own."""
+
+    def __call__(self, batches):
+        rng = np.random.default_rng(97)
+        mul = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        add = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
+        for batch in batches:
+            rows = np.empty((batch.num_rows, SKETCH), np.uint8)
+            for k, s in enumerate(shingle_sets(utf8_values(batch.column("text")))):
+                least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(s), 4096):
+                    for lo in range(0, SKETCH, 64):
+                        np.minimum(least[lo : lo + 64], (s[at : at + 4096, None] * mul[None, lo : lo + 64] + add[None, lo : lo + 64]).min(axis=0), out=least[lo : lo + 64])
+                rows[k] = (least >> np.uint64(17)) & np.uint64(1)
+            words = np.packbits(rows, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(words[:, i]) for i in range(SKETCH // 64))], ["doc", *(f"s{i}" for i in range(SKETCH // 64))])
+
+
+def _linkable(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of docs(doc), with distinct sets, those that may have a link among each other.
+
+    Shingles that no other of the documents has are outside every intersection; a document with too
+    many of them has no link and goes. As long as that takes out a good part, the rest is asked again."""
+    left, size = written(docs, "linkable"), None
+    while True:
+        before = size if size is not None else left.count()
+        shingles = left.join(texts, "doc").select("doc", "text").mapInArrow(_Explode(), "doc long, n long, shingle long")
+        alone = shingles.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc").alias("doc"), F.min("n").alias("n")).where("k = 1").groupBy("doc", "n").agg(F.count("*").alias("alone"))
+        gone = alone.where((F.col("n") - F.col("alone")) * 100 < F.col("n") * percent).select("doc")
+        left = written(left.join(gone, "doc", "left_anti"), "linkable")
+        size = left.count()
+        if size >= 0.9 * before:
+            return left
+
+
+def _left_over(shared: DataFrame, seen: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket in different components, once each, that were not compared and that the
     triangle inequality of the Jaccard distance (by their distances to the bucket's centre) allows.
-    One of the two is always outside the bucket's largest component."""
+    Documents whose own shingles rule out any link are left out first, and pairs whose sketches differ
+    by five deviations more than those of a pair at the threshold (one such pair in 3 million is lost). One of the two is always outside the bucket's largest component."""
     labelled = shared.join(first, F.col("doc") == F.col("node"), "left").select("key", "doc", "centre", F.coalesce("component", "doc").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    rows = labelled.join(mixed, "key", "left_semi").join(seen.select("doc", "centre", (F.col("common") / F.col("together")).alias("likeness")), ["doc", "centre"], "left").withColumn("likeness", F.when(F.col("doc") == F.col("centre"), 1.0).otherwise(F.col("likeness")))
-    rows = written(rows, "mixed")
+    labelled = written(labelled, "labelled")
+    only = lambda rows: rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    suspects = labelled.join(only(labelled), "key", "left_semi")
+    suspects = suspects.join(_linkable(suspects.select("doc").distinct(), texts, percent), "doc", "left_semi")
+    labelled = written(suspects.select("key", "doc", "centre", "component"), "suspects")
+    rows = labelled.join(only(labelled), "key", "left_semi").join(seen.select("doc", "centre", (F.col("common") / F.col("together")).alias("likeness")), ["doc", "centre"], "left").withColumn("likeness", F.when(F.col("doc") == F.col("centre"), 1.0).otherwise(F.col("likeness")))
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+    sketches = rows.select("doc").distinct().join(texts, "doc").mapInArrow(_Sketch(), "doc long, " + ", ".join(f"{w} long" for w in words))
+    rows = written(rows.join(sketches, "doc"), "mixed")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rows = rows.join(largest, "key")
-    few = rows.where("component != largest").select("key", F.col("doc").alias("d1"), F.col("component").alias("c1"), F.col("likeness").alias("l1"))
+    few = rows.where("component != largest").select("key", F.col("doc").alias("d1"), F.col("component").alias("c1"), F.col("likeness").alias("l1"), *(F.col(w).alias(f"o{w}") for w in words))
+    # Bits differ with probability (1 - J) / 2; five deviations above that of J at the threshold lose no pair in practice.
+    expect = SKETCH * (1 - percent / 100) / 2
+    most = expect + 5 * (expect * (1 + percent / 100) / 2) ** 0.5
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
     slack = 1 - percent / 100 + 1e-9
-    pairs = few.join(rows, "key").where((F.col("c1") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("d1") < F.col("doc"))) & (F.abs(F.col("l1") - F.col("likeness")) <= slack))
+    pairs = few.join(rows, "key").where((F.col("c1") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("d1") < F.col("doc"))) & (F.abs(F.col("l1") - F.col("likeness")) <= slack) & (differ <= most))
     pairs = pairs.select(F.greatest("d1", "doc").alias("doc"), F.least("d1", "doc").alias("centre")).distinct()
     done = seen.select(F.greatest("doc", "centre").alias("doc"), F.least("doc", "centre").alias("centre"))
     return pairs.join(done, ["doc", "centre"], "left_anti")
