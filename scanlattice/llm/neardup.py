@@ -26,7 +26,7 @@ SHINGLE = 5
 SIDE = 8
 HALF = 2
 #: Bits of the one-bit minhash sketches that come before the comparison of left-over pairs.
-SKETCH = 1024
+SKETCH = 2048
 #: Documents compared with one centre in one task before the next task takes over.
 CHUNK = 256
 
@@ -119,9 +119,9 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(key, i, doc): a row for each of a document's SIDE*SIDE tables."""
-    tables = F.flatten(F.transform("first", lambda a, i: F.transform("second", lambda b, j: F.struct(i.alias("i"), F.xxhash64(a, b, i * SIDE + j).alias("key")))))
-    return nodes.select("doc", F.explode(tables).alias("t")).select("t.key", "t.i", "doc")
+    """(key, i, j, doc): a row for each of a document's SIDE*SIDE tables."""
+    tables = F.flatten(F.transform("first", lambda a, i: F.transform("second", lambda b, j: F.struct(i.alias("i"), j.alias("j"), F.xxhash64(a, b, i * SIDE + j).alias("key")))))
+    return nodes.select("doc", F.explode(tables).alias("t")).select("t.key", "t.i", "t.j", "doc")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order = F.element_at(F.array(*[F.lit(x) for x in _ORDERS]), F.col("i") + 1)
     rows = _bucket_rows(nodes)
     buckets = rows.groupBy("key", "i").agg(F.min(F.col("doc").bitwiseXOR(order)).alias("low"), F.max(F.col("doc").bitwiseXOR(order)).alias("high")).where("low < high").select("key", F.col("low").bitwiseXOR(order).alias("centre"))
-    shared = written(rows.join(buckets, "key").select("key", "doc", "centre"), "buckets")
+    shared = written(rows.join(buckets, "key").select("key", "i", "j", "doc", "centre"), "buckets")
     pairs = written(shared.where("doc != centre").select("doc", "centre").distinct(), "pairs")
 
     involved = pairs.select("doc").union(pairs.select(F.col("centre").alias("doc"))).distinct()
@@ -174,23 +174,27 @@ class _Explode:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(s))), pa.array(part.view(np.int64))], ["doc", "n", "shingle"])
 
 
+_WORDS = [*(f"s{i}" for i in range(SKETCH // 64)), *(f"h{i}" for i in range(2 * SIDE))]
+
+
 class _Sketch:
-    """mapInArrow function: (doc, SKETCH bits), each the lowest bit of a minhash value of its own."""
+    """mapInArrow function: (doc, SKETCH bits), each from a minhash value of its own, and the half-keys."""
 
     def __call__(self, batches):
         rng = np.random.default_rng(97)
         mul = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
         for batch in batches:
-            rows = np.empty((batch.num_rows, SKETCH), np.uint8)
+            rows, halves = np.empty((batch.num_rows, SKETCH), np.uint8), np.empty((batch.num_rows, 2 * SIDE), np.int64)
             for k, s in enumerate(shingle_sets(utf8_values(batch.column("text")))):
                 least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(s), 4096):
                     for lo in range(0, SKETCH, 64):
                         np.minimum(least[lo : lo + 64], (s[at : at + 4096, None] * mul[None, lo : lo + 64] + add[None, lo : lo + 64]).min(axis=0), out=least[lo : lo + 64])
+                halves[k] = _half_keys(s)
                 rows[k] = (least >> np.uint64(17)) & np.uint64(1)
             words = np.packbits(rows, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(words[:, i]) for i in range(SKETCH // 64))], ["doc", *(f"s{i}" for i in range(SKETCH // 64))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(words[:, i]) for i in range(SKETCH // 64)), *(pa.array(halves[:, i]) for i in range(2 * SIDE))], ["doc", *_WORDS])
 
 
 def _linkable(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -215,26 +219,28 @@ def _left_over(shared: DataFrame, seen: DataFrame, first: DataFrame, texts: Data
     triangle inequality of the Jaccard distance (by their distances to the bucket's centre) allows.
     Documents whose own shingles rule out any link are left out first, and pairs whose sketches differ
     by five deviations more than those of a pair at the threshold (one such pair in 3 million is lost). One of the two is always outside the bucket's largest component."""
-    labelled = shared.join(first, F.col("doc") == F.col("node"), "left").select("key", "doc", "centre", F.coalesce("component", "doc").alias("component"))
+    labelled = shared.join(first, F.col("doc") == F.col("node"), "left").select("key", "i", "j", "doc", "centre", F.coalesce("component", "doc").alias("component"))
     labelled = written(labelled, "labelled")
     only = lambda rows: rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     suspects = labelled.join(only(labelled), "key", "left_semi")
     suspects = suspects.join(_linkable(suspects.select("doc").distinct(), texts, percent), "doc", "left_semi")
-    labelled = written(suspects.select("key", "doc", "centre", "component"), "suspects")
+    labelled = written(suspects.select("key", "i", "j", "doc", "centre", "component"), "suspects")
     rows = labelled.join(only(labelled), "key", "left_semi").join(seen.select("doc", "centre", (F.col("common") / F.col("together")).alias("likeness")), ["doc", "centre"], "left").withColumn("likeness", F.when(F.col("doc") == F.col("centre"), 1.0).otherwise(F.col("likeness")))
-    words = [f"s{i}" for i in range(SKETCH // 64)]
-    sketches = rows.select("doc").distinct().join(texts, "doc").mapInArrow(_Sketch(), "doc long, " + ", ".join(f"{w} long" for w in words))
+    sketches = rows.select("doc").distinct().join(texts, "doc").mapInArrow(_Sketch(), "doc long, " + ", ".join(f"{w} long" for w in _WORDS))
     rows = written(rows.join(sketches, "doc"), "mixed")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rows = rows.join(largest, "key")
-    few = rows.where("component != largest").select("key", F.col("doc").alias("d1"), F.col("component").alias("c1"), F.col("likeness").alias("l1"), *(F.col(w).alias(f"o{w}") for w in words))
+    few = rows.where("component != largest").select("key", F.col("doc").alias("d1"), F.col("component").alias("c1"), F.col("likeness").alias("l1"), *(F.col(w).alias(f"o{w}") for w in _WORDS))
     # Bits differ with probability (1 - J) / 2; five deviations above that of J at the threshold lose no pair in practice.
     expect = SKETCH * (1 - percent / 100) / 2
     most = expect + 5 * (expect * (1 + percent / 100) / 2) ** 0.5
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in _WORDS[: SKETCH // 64]), F.lit(0))
+    # A pair that shares several tables is taken at the first half-keys that it shares, so it comes once.
+    agree = lambda side: F.coalesce(*[F.when(F.col(f"h{side * SIDE + n}") == F.col(f"oh{side * SIDE + n}"), n) for n in range(SIDE)])
+    once = (agree(0) == F.col("i")) & (agree(1) == F.col("j"))
     slack = 1 - percent / 100 + 1e-9
-    pairs = few.join(rows, "key").where((F.col("c1") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("d1") < F.col("doc"))) & (F.abs(F.col("l1") - F.col("likeness")) <= slack) & (differ <= most))
+    pairs = few.join(rows, "key").where((F.col("c1") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("d1") < F.col("doc"))) & (F.abs(F.col("l1") - F.col("likeness")) <= slack) & once & (differ <= most))
     pairs = pairs.select(F.greatest("d1", "doc").alias("doc"), F.least("d1", "doc").alias("centre")).distinct()
     done = seen.select(F.greatest("doc", "centre").alias("doc"), F.least("doc", "centre").alias("centre"))
     return pairs.join(done, ["doc", "centre"], "left_anti")
