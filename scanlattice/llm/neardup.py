@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeats = sets.join(classes, "digest").where("doc_id != doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
     first = components(links.union(repeats))
 
-    second = written(compared(_left_over(shared, seen, first, texts, percent), texts), "compared")
+    rest = written(_left_over(shared, seen, first, texts, percent), "rest")
+    second = written(compared(rest, texts), "compared")
     more = second.where(linked).select(F.col("doc").alias("u"), F.col("centre").alias("v"))
     joined = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     out = signed.select("doc_id", "n_shingles").join(joined, F.col("doc_id") == F.col("node"), "left")
