@@ -12,13 +12,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlattice.functions.shipping import ship  # noqa: F401
+from scanlattice.functions.shipping import ship as _ship
 
 #: Bytes of text that one vectorised block holds; bounds a worker's memory, not what is read.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _OWN: dict[str, str] = {}
 
 
+#: Rows that go to a Python worker at once where the session has Spark's own default.
+BATCH_ROWS = 2000
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable on executors and bounds what a worker holds of a table."""
+    _ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import ALNUM_WORDS, ship, utf8_values, word_blocks
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 8
 #: Benchmark words sent to the executors at once; a larger benchmark is taken in several such blocks.
 BLOCK_WORDS = 2_000_000

@@ -42,7 +42,7 @@ class WordIds(dict):
     generations of at most `keep` words. The tokenizer drops white space and no token spans it, so a
     text's ids are its words' ids one after another."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
