@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM_WORDS, ship, utf8_values, word_blocks
+from .common import ALNUM_WORDS, ship, utf8_values, word_blocks, written
 
 #: Most labelled documents that are learned from (chosen by a hash of the id), and most features kept.
 SAMPLE = 16_000
@@ -154,15 +154,20 @@ class _Evidence:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.int64()), pa.array(value, pa.float64())], ["toxic", "words", "value"])
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """A model from labelled rows; None if a class is absent. At most about `sample` documents are
-    learned from, drawn by a hash of doc_id; features are counted on the executors, and at most
-    FEATURES of them, the most telling, reach the driver."""
-    spark = labelled.sparkSession
+def draw(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """About `sample` labelled ids at most, by a hash of the id: small enough to send everywhere."""
+    rows = labels.select(doc_id, F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col(doc_id).isNotNull())
+    share = min(1.0, sample / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), F.lit(1_000_000)) < F.lit(1_000_000 * share))
+
+
+def fit(drawn: DataFrame, text: str = "text", label: str = "toxic") -> Model | None:
+    """A model from labelled texts, as many as draw() gives; None if a class is absent. Features are
+    counted on the executors, and at most FEATURES of them, the most telling, reach the driver."""
+    spark = drawn.sparkSession
     ship(spark)
-    rows = labelled.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
-    n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, sample / max(n, 1)))).select("text", "toxic")
+    rows = drawn.select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
+    drawn = written(rows, "drawn")  # four passes over few documents instead of over all
     counts = drawn.mapInArrow(_Count(), "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = drawn.select("toxic", F.size(F.split("text", r"\s+")).cast("long").alias("w")).groupBy("toxic").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
     sizes = {r["toxic"]: float(r["w"]) for r in totals}
