@@ -90,3 +90,62 @@ def is_test_path(path: Column) -> Column:
     # Path components of code that is not shipped.
     names = ["test", "tests", "__tests__", "spec", "fixtures", "examples", "samples"]
     return F.exists(F.split(F.lower(path), "/"), lambda p: p.isin(names) | p.rlike(r"(^test_|_test\.|\.(test|spec)\.)"))
+
+
+def fnv1a_hex(c: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes, 64 bits, as 16 hex digits. Kept as two 32-bit halves, so no product overflows."""
+    octets = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "$1,"), ","), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+    mask = 0xFFFFFFFF
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["lo"].bitwiseXOR(b)
+        product = low * 0x1B3
+        carry = F.shiftright(product, 32)
+        return F.struct((h["hi"] * 0x1B3 + low * 256 + carry).bitwiseAND(mask).alias("hi"), product.bitwiseAND(mask).alias("lo"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    return F.aggregate(octets, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """Line, from 1, of a character offset."""
+    return (F.length(F.substring(text, F.lit(1), offset)) - F.length(F.replace(F.substring(text, F.lit(1), offset), F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def column_of(text: Column, offset: Column) -> Column:
+    """Column, from 1, of a character offset, in characters."""
+    return (F.length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)) + 1).cast("long")
+
+
+def relative_path(c: Column) -> Column:
+    """Slashes for backslashes, without leading `./`."""
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+
+
+def uri_path(c: Column) -> Column:
+    """Percent-encoded path; slashes stay."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
+def is_uuid(c: Column) -> Column:
+    return c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+
+
+def looks_random(c: Column) -> Column:
+    """16 to 256 characters, at least 8 distinct ones, of at least two of four classes."""
+    classes = sum((c.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]")), F.lit(0))
+    return F.length(c).between(16, 256) & (F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))) >= 8) & (classes >= 2)
+
+
+def split_reason(c: Column, most: int = 500) -> Column:
+    """Pieces of at most `most` characters, cut at white space where there is any; no word is lost."""
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)\S.{{0,{most - 1}}}(?:\s|$)|\S{{{most}}}"), F.lit(0))
+    return F.transform(pieces, lambda x: F.regexp_replace(x, r"\s+$", ""))
+
+
+def url_scheme(c: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit(""))
+
+
+def url_host(c: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))

@@ -23,11 +23,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    from scanlattice.plans import reviews  # noqa: F401  (registers its queries; it imports `query` from here)
+
+
 def queries() -> dict:
+    _all()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 

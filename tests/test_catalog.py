@@ -80,3 +80,34 @@ def test_stream_appends_each_id_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "b"), (3, "c")]
     with pytest.raises(ValueError):
         log.append_once(target, "id", "content")(spark.createDataFrame([(3, "other")], "id long, content string"), 9)
+
+
+def test_suppression_and_states(spark):
+    from scanlattice.operators import ledgers
+
+    findings = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 5, "a"), (2, 9, "a"), (3, 1, None)], "key long, line long, rule string")
+    marks = spark.createDataFrame([(1, 1, "a", False), (1, 1, "z", False), (2, 1, None, True)], "key long, line long, rule string, whole boolean")
+    assert sorted((r["key"], r["line"]) for r in ledgers.unsuppressed(findings, marks).collect()) == [(1, 2), (1, 5), (3, 1)]
+    assert [r["rule"] for r in ledgers.unused_marks(findings, marks).collect()] == ["z"]
+    decisions = spark.createDataFrame([(1, 7, None), (2, 7, 1), (3, 8, None), (4, 8, None)], "id long, subject long, supersedes long")
+    subjects = spark.createDataFrame([(7,), (8,), (9,)], "subject long")
+    assert {r["subject"]: r["state"] for r in ledgers.subject_states(subjects, decisions).collect()} == {7: "recorded", 8: "conflict", 9: "unassessed"}
+
+
+def test_selectors(spark):
+    from scanlattice.operators import selectors
+
+    nodes = trees.parse_html(spark.createDataFrame([(1, "<ul><li>a</li><li>b<b>x</b></li><li>c</li></ul><p>t</p><p>u</p>")], "page_id long, html string")).cache()
+    count = lambda s: selectors.select(nodes, s).count()
+    assert [count(s) for s in ("ul > li", "ul b", "ul > b", "ul + p", "ul ~ p", "li:has(b)", "li:not(li:has(b))", "li:nth-child(2n+1)", "li:nth-last-child(1), p", "li:is(ul > li)")] == [3, 1, 0, 1, 2, 1, 2, 2, 3, 3]
+    for bad in ("", "> li", "li:nope(x)", "li:nth-child(x)"):
+        with pytest.raises(ValueError):
+            selectors.select(nodes, bad)
+
+
+def test_more_scalar_functions(spark):
+    fnv = lambda s: value(spark, T.fnv1a_hex(F.lit(s)))
+    assert (fnv(""), fnv("a"), fnv("foobar")) == ("cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8")
+    assert value(spark, T.split_reason(F.lit("aa bb " + "c" * 12), 5)) == ["aa bb", "ccccc", "ccccc", "cc"]
+    assert value(spark, T.relative_path(F.lit(".\\a\\b"))) == "a/b" and value(spark, T.uri_path(F.lit("a b/ç"))) == "a%20b/%C3%A7"
+    assert value(spark, T.line_of(F.lit("a\nbc"), F.lit(3))) == 2 and value(spark, T.column_of(F.lit("a\nbc"), F.lit(3))) == 2
