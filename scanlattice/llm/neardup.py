@@ -12,30 +12,46 @@ Every link is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACED_WORDS, mix64, ship, utf8_values, word_blocks, written
 from .components import components
 
 SHINGLE = 5
-SIDE = 8
 HALF = 2
+#: A pair at the threshold shares no table with at most this probability.
+MISS = 1e-4
 #: Bits of the one-bit minhash sketches that come before the comparison of left-over pairs.
 SKETCH = 2048
 #: Documents compared with one centre in one task before the next task takes over.
 CHUNK = 256
 
-_RNG = np.random.default_rng(20240131)
-_PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MUL = _RNG.integers(1, 1 << 63, 2 * SIDE * HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(1, 1 << 63, 2 * SIDE * HALF, dtype=np.uint64)
-#: One order of documents for each first half-key, so that tables differ in their centres.
-_ORDERS = [int(x) for x in _RNG.integers(0, 1 << 62, SIDE)]
+_PLACE = np.random.default_rng(20240131).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def side_for(percent: int) -> int:
+    """Half-keys of each collection: the fewest that keep to MISS at the threshold (8 for 85, 10 for 80)."""
+    side, half = 1, (percent / 100) ** HALF
+    while 1 - (1 - (1 - half) ** side) ** 2 > MISS:
+        side += 1
+    return side
+
+
+@functools.cache
+def _draws(side: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Factors and addends of the minhashes, and one order of documents for each first half-key, so that
+    tables differ in their centres."""
+    rng = np.random.default_rng(20240131)
+    rng.integers(1, 1 << 63, len(_PLACE), dtype=np.uint64)
+    mul = rng.integers(1, 1 << 63, 2 * side * HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(1, 1 << 63, 2 * side * HALF, dtype=np.uint64)
+    return mul, add, [int(x) for x in rng.integers(0, 1 << 62, side)]
 
 
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -59,17 +75,22 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> Iterator[np.nda
                 yield np.zeros(0, np.uint64)
 
 
-def _half_keys(shingles: np.ndarray) -> np.ndarray:
-    least = np.empty(len(_MUL), np.uint64)
-    for at in range(len(_MUL)):
-        least[at] = (shingles * _MUL[at] + _ADD[at]).min()
-    parts = least.reshape(2 * SIDE, HALF)
-    return mix64((parts * _PLACE[:HALF]).sum(axis=1, dtype=np.uint64) + np.arange(2 * SIDE, dtype=np.uint64)).view(np.int64)
+def _half_keys(shingles: np.ndarray, side: int) -> np.ndarray:
+    mul, add, _ = _draws(side)
+    least = np.empty(len(mul), np.uint64)
+    for at in range(len(mul)):
+        least[at] = (shingles * mul[at] + add[at]).min()
+    parts = least.reshape(2 * side, HALF)
+    return mix64((parts * _PLACE[:HALF]).sum(axis=1, dtype=np.uint64) + np.arange(2 * side, dtype=np.uint64)).view(np.int64)
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 class _Signatures:
-    def __init__(self, doc_id: str, text: str):
-        self.doc_id, self.text = doc_id, text
+    def __init__(self, doc_id: str, text: str, side: int):
+        self.doc_id, self.text, self.side = doc_id, text, side
 
     def __call__(self, batches):
         for batch in batches:
@@ -77,10 +98,10 @@ class _Signatures:
             for s in shingle_sets(utf8_values(batch.column(self.text))):
                 count.append(len(s))
                 if len(s):
-                    keys = _half_keys(s).tolist()
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    first.append(keys[:SIDE])
-                    second.append(keys[SIDE:])
+                    keys = _half_keys(s, self.side).tolist()
+                    digest.append(_digest(s))
+                    first.append(keys[: self.side])
+                    second.append(keys[self.side :])
                 else:
                     digest.append(None)
                     first.append(None)
@@ -118,10 +139,22 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_Compare(), "doc long, centre long, common long, together long")
 
 
-def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(key, i, j, doc): a row for each of a document's SIDE*SIDE tables."""
-    tables = F.flatten(F.transform("first", lambda a, i: F.transform("second", lambda b, j: F.struct(i.alias("i"), j.alias("j"), F.xxhash64(a, b, i * SIDE + j).alias("key")))))
-    return nodes.select("doc", F.explode(tables).alias("t")).select("t.key", "t.i", "t.j", "doc")
+def _table_bits(side: int) -> int:
+    return (side * side - 1).bit_length()
+
+
+def _table_of(side: int) -> tuple[Column, Column]:
+    """(i, j) of the table that a bucket's key has in its lowest bits."""
+    number = F.col("key").bitwiseAND((1 << _table_bits(side)) - 1).cast("int")
+    return F.floor(number / side).cast("int"), number % side
+
+
+def _bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
+    """(key, doc): a row for each of a document's side*side tables, with the table's number in the key."""
+    number = lambda i, j: (i * side + j).cast("long")
+    key = lambda a, b, n: F.shiftleft(F.xxhash64(a, b, n), _table_bits(side)).bitwiseOR(n)
+    tables = F.flatten(F.transform("first", lambda a, i: F.transform("second", lambda b, j: key(a, b, number(i, j)))))
+    return nodes.select(F.explode(tables).alias("key"), "doc")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -131,20 +164,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A document without words, or with null text, has no shingles and is linked with nothing. Repeated
     rows are one node and are each returned; a doc_id that repeats with other texts is one node with
     the links of all of them. A null doc_id is linked with nothing and has a null component. Extra
-    columns are not read. A pair at the threshold shares none of the 64 tables with probability below 1e-4.
+    columns are not read. A pair at the threshold shares none of the tables with probability of at most MISS.
     Within a bucket that still holds several components after the first round, sketches of all members
     outside the largest component are compared (in the join, by XOR of longs); few pairs leave it."""
     ship(docs.sparkSession)
+    side = side_for(percent)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(source.mapInArrow(_Signatures("doc_id", "text"), "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"), "signatures")
+    signed = written(source.mapInArrow(_Signatures("doc_id", "text", side), "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"), "signatures")
     sets = signed.where("digest is not null and doc_id is not null")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("doc"))
     nodes = sets.join(classes.withColumnRenamed("doc", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("doc"), "first", "second")
 
-    order = F.element_at(F.array(*[F.lit(x) for x in _ORDERS]), F.col("i") + 1)
-    rows = _bucket_rows(nodes)
-    buckets = rows.groupBy("key", "i").agg(F.min(F.col("doc").bitwiseXOR(order)).alias("low"), F.max(F.col("doc").bitwiseXOR(order)).alias("high")).where("low < high").select("key", F.col("low").bitwiseXOR(order).alias("centre"))
-    shared = written(rows.join(buckets, "key").select("key", "i", "j", "doc", "centre"), "buckets")
+    order = F.element_at(F.array(*[F.lit(x) for x in _draws(side)[2]]), _table_of(side)[0] + 1)
+    rows = _bucket_rows(nodes, side)
+    buckets = rows.groupBy("key").agg(F.min(F.col("doc").bitwiseXOR(order)).alias("low"), F.max(F.col("doc").bitwiseXOR(order)).alias("high")).where("low < high").select("key", F.col("low").bitwiseXOR(order).alias("centre"))
+    shared = written(rows.join(buckets, "key").select("key", "doc", "centre"), "buckets")
     pairs = written(shared.where("doc != centre").select("doc", "centre").distinct(), "pairs")
 
     involved = pairs.select("doc").union(pairs.select(F.col("centre").alias("doc"))).distinct()
@@ -155,7 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeats = sets.join(classes, "digest").where("doc_id != doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
     first = components(links.union(repeats))
 
-    rest = written(_left_over(shared, seen, first, texts, percent), "rest")
+    rest = written(_left_over(shared, seen, first, texts, percent, side), "rest")
     second = written(compared(rest, texts), "compared")
     more = second.where(linked).select(F.col("doc").alias("u"), F.col("centre").alias("v"))
     joined = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
@@ -175,27 +209,31 @@ class _Explode:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(s))), pa.array(part.view(np.int64))], ["doc", "n", "shingle"])
 
 
-_WORDS = [*(f"s{i}" for i in range(SKETCH // 64)), *(f"h{i}" for i in range(2 * SIDE))]
+def _words(side: int) -> list[str]:
+    return [*(f"s{i}" for i in range(SKETCH // 64)), *(f"h{i}" for i in range(2 * side))]
 
 
 class _Sketch:
     """mapInArrow function: (doc, SKETCH bits), each from a minhash value of its own, and the half-keys."""
 
+    def __init__(self, side: int):
+        self.side = side
+
     def __call__(self, batches):
         rng = np.random.default_rng(97)
         mul = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
         for batch in batches:
-            rows, halves = np.empty((batch.num_rows, SKETCH), np.uint8), np.empty((batch.num_rows, 2 * SIDE), np.int64)
+            rows, halves = np.empty((batch.num_rows, SKETCH), np.uint8), np.empty((batch.num_rows, 2 * self.side), np.int64)
             for k, s in enumerate(shingle_sets(utf8_values(batch.column("text")))):
                 least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(s), 4096):
                     for lo in range(0, SKETCH, 64):
                         np.minimum(least[lo : lo + 64], (s[at : at + 4096, None] * mul[None, lo : lo + 64] + add[None, lo : lo + 64]).min(axis=0), out=least[lo : lo + 64])
-                halves[k] = _half_keys(s)
+                halves[k] = _half_keys(s, self.side)
                 rows[k] = (least >> np.uint64(17)) & np.uint64(1)
             words = np.packbits(rows, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(words[:, i]) for i in range(SKETCH // 64)), *(pa.array(halves[:, i]) for i in range(2 * SIDE))], ["doc", *_WORDS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(words[:, i]) for i in range(SKETCH // 64)), *(pa.array(halves[:, i]) for i in range(2 * self.side))], ["doc", *_words(self.side)])
 
 
 def _linkable(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -215,31 +253,33 @@ def _linkable(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             return left
 
 
-def _left_over(shared: DataFrame, seen: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _left_over(shared: DataFrame, seen: DataFrame, first: DataFrame, texts: DataFrame, percent: int, side: int) -> DataFrame:
     """Pairs of a bucket in different components, once each, that were not compared and that the
     triangle inequality of the Jaccard distance (by their distances to the bucket's centre) allows.
     Documents whose own shingles rule out any link are left out first, and pairs whose sketches differ
     by five deviations more than those of a pair at the threshold (one such pair in 3 million is lost). One of the two is always outside the bucket's largest component."""
-    labelled = shared.join(first, F.col("doc") == F.col("node"), "left").select("key", "i", "j", "doc", "centre", F.coalesce("component", "doc").alias("component"))
+    words = _words(side)
+    labelled = shared.join(first, F.col("doc") == F.col("node"), "left").select("key", "doc", "centre", F.coalesce("component", "doc").alias("component"))
     labelled = written(labelled, "labelled")
     only = lambda rows: rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     suspects = labelled.join(only(labelled), "key", "left_semi")
     suspects = suspects.join(_linkable(suspects.select("doc").distinct(), texts, percent), "doc", "left_semi")
-    labelled = written(suspects.select("key", "i", "j", "doc", "centre", "component"), "suspects")
+    labelled = written(suspects.select("key", "doc", "centre", "component"), "suspects")
     rows = labelled.join(only(labelled), "key", "left_semi").join(seen.select("doc", "centre", (F.col("common") / F.col("together")).alias("likeness")), ["doc", "centre"], "left").withColumn("likeness", F.when(F.col("doc") == F.col("centre"), 1.0).otherwise(F.col("likeness")))
-    sketches = rows.select("doc").distinct().join(texts, "doc").mapInArrow(_Sketch(), "doc long, " + ", ".join(f"{w} long" for w in _WORDS))
+    sketches = rows.select("doc").distinct().join(texts, "doc").mapInArrow(_Sketch(side), "doc long, " + ", ".join(f"{w} long" for w in words))
     rows = written(rows.join(sketches, "doc"), "mixed")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rows = rows.join(largest, "key")
-    few = rows.where("component != largest").select("key", F.col("doc").alias("d1"), F.col("component").alias("c1"), F.col("likeness").alias("l1"), *(F.col(w).alias(f"o{w}") for w in _WORDS))
+    few = rows.where("component != largest").select("key", F.col("doc").alias("d1"), F.col("component").alias("c1"), F.col("likeness").alias("l1"), *(F.col(w).alias(f"o{w}") for w in words))
     # Bits differ with probability (1 - J) / 2; five deviations above that of J at the threshold lose no pair in practice.
     expect = SKETCH * (1 - percent / 100) / 2
     most = expect + 5 * (expect * (1 + percent / 100) / 2) ** 0.5
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in _WORDS[: SKETCH // 64]), F.lit(0))
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words[: SKETCH // 64]), F.lit(0))
     # A pair that shares several tables is taken at the first half-keys that it shares, so it comes once.
-    agree = lambda side: F.coalesce(*[F.when(F.col(f"h{side * SIDE + n}") == F.col(f"oh{side * SIDE + n}"), n) for n in range(SIDE)])
-    once = (agree(0) == F.col("i")) & (agree(1) == F.col("j"))
+    agree = lambda at: F.coalesce(*[F.when(F.col(f"h{at + n}") == F.col(f"oh{at + n}"), n) for n in range(side)])
+    i, j = _table_of(side)
+    once = (agree(0) == i) & (agree(side) == j)
     slack = 1 - percent / 100 + 1e-9
     pairs = few.join(rows, "key").where((F.col("c1") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("d1") < F.col("doc"))) & (F.abs(F.col("l1") - F.col("likeness")) <= slack) & once & (differ <= most))
     pairs = pairs.select(F.greatest("d1", "doc").alias("doc"), F.least("d1", "doc").alias("centre")).distinct()

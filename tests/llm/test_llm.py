@@ -447,3 +447,16 @@ def test_stages_take_odd_rows(spark):
         assert out.count() >= 1 and (name == "pack" or out.columns == docs.columns)
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["language", "near_dedup", "decontaminate", "secret_scan", "pack"]'
+
+
+def test_near_duplicates_size_their_tables_for_the_threshold(spark):
+    w = [f"w{k}" for k in range(100)]
+    changed = lambda base, *at: " ".join("x" if k in at else v for k, v in enumerate(base))
+    # 96 shingles each: 10 of them changed leave 86 / 106 = 0.811, 15 leave 81 / 111 = 0.730.
+    rows = [(1, " ".join(w)), (2, changed(w, 20, 60)), (3, changed([f"v{x}" for x in w], 5)), (4, changed([f"v{x}" for x in w], 30, 50, 70))]
+    kept = lambda **more: sorted(r["doc_id"] for r in neardup.near_duplicates(frame(spark, rows), **more).where("kept").collect())
+    assert kept(percent=80) == [1, 3, 4] and kept() == [1, 2, 3, 4]
+    for percent in (50, 80, 85):
+        side, half = neardup.side_for(percent), (percent / 100) ** neardup.HALF
+        assert 1 - (1 - (1 - half) ** side) ** 2 <= 1e-4
+    assert neardup.side_for(85) == 8
