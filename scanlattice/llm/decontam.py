@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ALNUM_WORDS, ship, utf8_values, word_blocks
+from .common import ALNUM_WORDS, ship, utf8_values, word_blocks, written
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -257,35 +257,56 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     read = docs.select(doc_id, text)
-    parts = [read.mapInArrow(_Scanner(spark.sparkContext.broadcast(p), [doc_id], text, None), schema) for p in _phrase_blocks(bench, item_id, item_text, window, block_words)]
-    if len(parts) == 1:
-        return parts[0].withColumn("items", F.array_sort("items"))
-    # Word positions differ only in which words are hit: merge the byte spans, then count words in them.
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = union.groupBy(doc_id).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    joined = read.join(merged, doc_id)
-    return joined.mapInArrow(_Recount(doc_id, text), schema)
+    blocks = [spark.sparkContext.broadcast(p) for p in _phrase_blocks(bench, item_id, item_text, window, block_words)]
+    if len(blocks) == 1:
+        return read.mapInArrow(_Scanner(blocks[0], [doc_id], text, None), schema).withColumn("items", F.array_sort("items"))
+    joined, _, found = _found_in_blocks(read, text, blocks)
+    return joined.mapInArrow(_Recount(doc_id, text, found), schema)
+
+
+def _found_in_blocks(docs: DataFrame, text: str, blocks: list) -> tuple[DataFrame, str, str]:
+    """docs with a row id and a struct (items, spans) of what all blocks find in a row's text (null where
+    nothing), and the names of both columns. The ids are written first, so every block sees the same."""
+    row, found = (name + "_" * max(len(c) for c in docs.columns) for name in ("__row", "__found"))  # longer than any column's name
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    schema = f"`{row}` long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    union = None
+    for block in blocks:
+        part = numbered.select(row, text).mapInArrow(_Scanner(block, [row], text, None), schema).where("n_hit > 0")
+        union = part if union is None else union.unionByName(part)
+    merged = union.groupBy(row).agg(F.struct(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).alias(found))
+    return numbered.join(merged, row, "left"), row, found
+
+
+def _union(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    """Sorted spans without overlaps; those with no word between them become one, as within a block."""
+    out: list[list[int]] = []
+    for s in spans:
+        if out and (s["start"] <= out[-1][1] or not text[out[-1][1] : s["start"]].translate(ALNUM_WORDS).split()):
+            out[-1][1] = max(out[-1][1], s["end"])
+        else:
+            out.append([s["start"], s["end"]])
+    return [(a, b) for a, b in out]
 
 
 class _Recount:
-    def __init__(self, doc_id: str, text: str):
-        self.doc_id, self.text = doc_id, text
+    """mapInArrow function: the columns of overlaps from the spans of all blocks."""
+
+    def __init__(self, doc_id: str, text: str, found: str):
+        self.doc_id, self.text, self.found = doc_id, text, found
 
     def __call__(self, batches):
+        count = lambda t: len(t.translate(ALNUM_WORDS).split())
         for batch in batches:
-            texts, hits, spans = utf8_values(batch.column(self.text)), [], []
-            for t, s in zip(texts, batch.column("spans").to_pylist()):
-                union: list[list[int]] = []
-                for x in s or []:
-                    if union and x["start"] <= union[-1][1]:
-                        union[-1][1] = max(union[-1][1], x["end"])
-                    else:
-                        union.append([x["start"], x["end"]])
-                hits.append(sum(len((t or b"")[a:b].translate(ALNUM_WORDS).split(b" ")) - (t or b"")[a:b].translate(ALNUM_WORDS).split(b" ").count(b"") for a, b in union))
+            words, hits, items, spans = [], [], [], []
+            for t, f in zip(utf8_values(batch.column(self.text)), batch.column(self.found).to_pylist()):
+                t, f = t or b"", f or {"items": [], "spans": []}
+                union = _union(t, f["spans"])
+                words.append(count(t))
+                hits.append(sum(count(t[a:b]) for a, b in union))
+                items.append(f["items"])
                 spans.append([{"start": a, "end": b} for a, b in union])
-            yield pa.RecordBatch.from_arrays([batch.column(self.doc_id), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), pa.array(spans, SPANS)], [self.doc_id, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(self.doc_id), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPANS)], [self.doc_id, "n_words", "n_hit", "items", "spans"])
 
 
 def remove_overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -460,3 +460,15 @@ def test_near_duplicates_size_their_tables_for_the_threshold(spark):
         side, half = neardup.side_for(percent), (percent / 100) ** neardup.HALF
         assert 1 - (1 - (1 - half) ** side) ** 2 <= 1e-4
     assert neardup.side_for(85) == 8
+
+
+def test_overlaps_do_not_depend_on_the_number_of_blocks(spark):
+    rng = random.Random(9)
+    w = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(w[:12])), (2, " ".join(w[8:22])), (3, " ".join(w[22:34])), (3, " ".join(w[22:34]))], "item_id long, text string")
+    rows = [(1, "a b " + ", ".join(w) + " c"), (2, " ".join(w[5:30])), (2, "other " + " ".join(w[20:])), (2, None), (None, " ".join(w[:15])), (None, " ".join(w[18:])), (None, ""), *((i, " ".join(rng.choices(w, k=30))) for i in range(3, 9))]
+    docs = frame(spark, rows, [0, 4])
+    one, many = (sorted(map(repr, decontam.overlaps(docs, bench, block_words=n).collect())) for n in (10**6, 10))
+    assert many == one and len(many) == len(rows) + 2
+    got = decontam.overlaps(docs, bench.dropDuplicates(), block_words=10).select("doc_id", "n_words", "n_hit", decontam.item_digest(F.col("items")).alias("d")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, decontam.brute_force([*rows, rows[0], rows[4]], [tuple(r) for r in bench.dropDuplicates().collect()])))
