@@ -311,18 +311,39 @@ class _Recount:
 
 def remove_overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with every removal span cut out of text; other columns and all rows stay, and n_chars, where
-    there is such a column, follows the text. Blocks of a large benchmark are removed one after another
-    from the same original words only if they fit one block; later blocks see the shortened text."""
-    spark, out = docs.sparkSession, docs
+    there is such a column, follows the text. The spans of all blocks of a large benchmark are found
+    in the original texts, merged for each row and cut at once."""
+    spark = docs.sparkSession
     ship(spark)
-    for p in _phrase_blocks(bench, "item_id", "text", window, block_words):
-        hit = "__hit" + "_" * max(len(c) for c in docs.columns)  # longer than any column's name
-        schema = T.StructType([*out.schema.fields, T.StructField(hit, T.LongType())])
-        out = out.mapInArrow(_Scanner(spark.sparkContext.broadcast(p), [], text, hit), schema)
-        if "n_chars" in docs.columns:
-            out = out.withColumn("n_chars", F.when(F.col(hit) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-        out = out.drop(hit)
-    return out
+    hit = "__hit" + "_" * max(len(c) for c in docs.columns)  # longer than any column's name
+    schema = T.StructType([*docs.schema.fields, T.StructField(hit, T.LongType())])
+    blocks = [spark.sparkContext.broadcast(p) for p in _phrase_blocks(bench, "item_id", "text", window, block_words)]
+    if len(blocks) == 1:
+        out = docs.mapInArrow(_Scanner(blocks[0], [], text, hit), schema)
+    else:
+        joined, row, found = _found_in_blocks(docs, text, blocks)
+        out = joined.drop(row).mapInArrow(_Cut(text, found, hit), schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(hit) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(hit)
+
+
+class _Cut:
+    """mapInArrow function: cuts the spans of all blocks out of the text and tells how many there were."""
+
+    def __init__(self, text: str, found: str, hit: str):
+        self.text, self.found, self.hit = text, found, hit
+
+    def __call__(self, batches):
+        for batch in batches:
+            names = [n for n in batch.schema.names if n != self.found]
+            columns, kept, hits = {n: batch.column(n) for n in names}, [], []
+            for t, f in zip(utf8_values(columns[self.text]), batch.column(self.found).to_pylist()):
+                union = _union(t, f["spans"]) if f else []
+                kept.append(_without(t, union) if union else t)
+                hits.append(len(union))
+            columns[self.text] = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(hits, pa.int64())], [*names, self.hit])
 
 
 def item_digest(items):

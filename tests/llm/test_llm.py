@@ -472,3 +472,16 @@ def test_overlaps_do_not_depend_on_the_number_of_blocks(spark):
     assert many == one and len(many) == len(rows) + 2
     got = decontam.overlaps(docs, bench.dropDuplicates(), block_words=10).select("doc_id", "n_words", "n_hit", decontam.item_digest(F.col("items")).alias("d")).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, decontam.brute_force([*rows, rows[0], rows[4]], [tuple(r) for r in bench.dropDuplicates().collect()])))
+
+
+def test_removal_does_not_depend_on_blocks_or_the_order_of_items(spark):
+    w = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[8:22])), (3, " ".join(w[22:34])), (4, "p q r s t u v w x y")]
+    rows = [(1, "a b " + ", ".join(w) + " c"), (1, " ".join(w[5:30])), (2, "p q r s t " + " ".join(w[:12]) + " u v w x y"), (None, " ".join(w[:15])), (3, None), (4, "")]
+    docs = frame(spark, rows, [0])
+    for order in (items, items[::-1]):
+        bench = spark.createDataFrame(order, "item_id long, text string").coalesce(1)
+        one, many = (sorted(decontam.remove_overlaps(docs, bench, block_words=n).collect(), key=repr) for n in (10**6, 10))
+        assert many == one and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in many)
+        texts = [r["text"] for r in many]
+        assert texts.count("a b , w34, w35, w36, w37, w38, w39 c") == 2 and texts.count("p q r s t  u v w x y") == 1
