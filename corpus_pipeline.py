@@ -24,10 +24,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id; of rows that repeat its id, one."""
-    classes = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(classes, docs.doc_id == F.col("__gone"), "left_anti")
-    return rest
+    """One document of each group stays, that of the smallest id; of rows that repeat its id, one: that of
+    the longest text, then the least in the columns' order. Rows without id are compared with each other
+    only, by equal shingle sets; those without words all stay."""
+    ids = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("__kept"), F.count("*").alias("__n"))
+    ids = written(ids.where("not __kept or __n > 1").select(F.col("doc_id").alias("__id"), "__kept"), "ids")
+    once = docs.where("doc_id is not null").join(ids, docs.doc_id == F.col("__id"), "left_anti")
+    again = docs.join(ids.where("__kept"), docs.doc_id == F.col("__id"), "left_semi")
+    nameless = neardup.with_digest(docs.where("doc_id is null"), "__digest")
+    wordless = nameless.where("__digest is null").drop("__digest")
+    return once.union(_one_each(again, "doc_id")).union(_one_each(nameless.where("__digest is not null"), "__digest").select(*docs.columns)).union(wordless)
+
+
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """A row for each key. An aggregate, so that many rows of a key never meet in one task."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = F.min(F.struct(-F.coalesce(F.length("text"), F.lit(-1)), row.alias("row")))
+    return rows.groupBy(F.col(key).alias("__key")).agg(first.alias("first")).select("first.row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

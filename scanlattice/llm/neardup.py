@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import SPACED_WORDS, mix64, ship, utf8_values, word_blocks, written
 from .components import components
@@ -197,6 +197,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+class _AddDigest:
+    """mapInArrow function: adds the digest of the shingle set, null for a text without words."""
+
+    def __init__(self, text: str, name: str):
+        self.text, self.name = text, name
+
+    def __call__(self, batches):
+        for batch in batches:
+            digests = [_digest(s) if len(s) else None for s in shingle_sets(utf8_values(batch.column(self.text)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, self.name])
+
+
+def with_digest(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """docs with a column more: equal for rows of equal shingle sets, null for those without words."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_AddDigest(text, name), T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 class _Explode:
     """mapInArrow function: (doc, size of its set, shingle)."""
 

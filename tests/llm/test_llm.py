@@ -485,3 +485,15 @@ def test_removal_does_not_depend_on_blocks_or_the_order_of_items(spark):
         assert many == one and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in many)
         texts = [r["text"] for r in many]
         assert texts.count("a b , w34, w35, w36, w37, w38, w39 c") == 2 and texts.count("p q r s t  u v w x y") == 1
+
+
+def test_near_dedup_keeps_one_row_of_each_id(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(60)]
+    text, other = " ".join(w), " ".join(f"v{x}" for x in w)
+    rows = [(1, text), (2, text.upper()), (3, other), (3, "short"), (3, None), (4, None), (4, ""), (None, text), (None, text.upper()), (None, other), (None, None), (None, "")]
+    docs = frame(spark, rows, [0, 0, 1, 2, 7, 10]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    want = [(1, text), (3, other), (4, ""), (None, text.upper()), (None, other), (None, None), (None, None), (None, "")]
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(repr, want)) and got.schema == docs.schema
