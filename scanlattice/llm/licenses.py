@@ -20,8 +20,16 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 # identifiers' families, by prefix of the lower-cased identifier.
-FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "cc-by": "cc-by", "cc0": "public-domain", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "unlicense": "public-domain", "isc": "isc", "licenseref": "custom"}
-PERMISSIVE = {"apache", "mit", "bsd", "isc", "public-domain", "cc-by"}
+FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "cc-by": "cc-by", "cc0": "public-domain", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "unlicense": "public-domain", "isc": "isc", "licenseref": "custom", "0bsd": "bsd", "zlib": "zlib", "bsl-1": "bsl"}
+PERMISSIVE = {"apache", "mit", "bsd", "isc", "public-domain", "cc-by", "zlib", "bsl"}
+# SPDX identifiers that have neither a digit nor a hyphen.
+PLAIN = """AAL Abstyles AdaCore Afmparse AMDPLPA AML AMPAS APAFML Bahyph Barr Beerware blessing Borceux Caldera checkmk ClArtistic Crossword CrystalStacker
+Cube curl diffmark DOC Dotseqn DSDP dtoa dvipdfm eGenix Entessa EUDatagrid Fair FreeImage FSFUL FSFULLR FTL Giftware Glide Glulxe gnuplot HaskellReport HPND
+ICU IJG ImageMagick iMatix Intel IPA ISC JPNIC JSON Leptonica Libpng libtiff MakeIndex MirOS MITNFA Motosoto MTLL Multics Mup Naumen NCSA NetCDF Newsletr
+NGPL NLPL Nokia Noweb NRL NTP OGTSL OML OpenSSL Plexus PostgreSQL psfrag psutils Qhull Rdisc RSCPL Ruby Saxpath SCEA Sendmail Sleepycat SMLNJ SNIA Spencer
+SWL TCL TMate TOSL TTWL Unlicense UPL Vim VOSTROM Wsuipa WTFPL Xerox xinetd Xnet xpp XSkat Zed Zlib""".split()
+_PLAIN_LOW = {x.lower() for x in PLAIN}
+_IDENTIFIER = re.compile(r"(?:DocumentRef-[A-Za-z0-9.-]+:)?(?=[0-9.+-]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9.+-]*")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _TAG_TEXT = re.compile(r"spdx-license-identifier:", re.I)
@@ -32,12 +40,25 @@ def family(identifier: str) -> str | None:
     return next((label for prefix, label in FAMILIES.items() if low.startswith(prefix)), None)
 
 
+def is_identifier(token: str, prose: bool = False) -> bool:
+    """Whether a token can be an operand: one of a known family, or of the form of an SPDX identifier
+    (with a digit or a hyphen, or listed in PLAIN). prose: behind a small and/or, where running text may
+    follow, it must be spelled as listed, or have a digit or a capital first."""
+    if family(token):
+        return True
+    if not _IDENTIFIER.fullmatch(token):
+        return False
+    if prose:
+        return token in PLAIN or any(c.isdigit() for c in token) or "-" in token and token[0].isupper()
+    return token.lower() in _PLAIN_LOW or "-" in token or any(c.isdigit() for c in token)
+
+
 def parse(text: str, at: int = 0) -> list[str] | None:
     """The expression at a place of text in reverse Polish order, None if there is none. It ends at
     the first token that cannot continue it; operators compare in either case."""
     out: list[str] = []
     stack: list[str] = []
-    operand, good, depth = True, None, 0
+    operand, good, depth, prose = True, None, 0, False
     while m := _TOKEN.match(text, at):
         token = m[1]
         low = token.lower()
@@ -45,7 +66,7 @@ def parse(text: str, at: int = 0) -> list[str] | None:
             if token == "(":
                 stack.append(token)
                 depth += 1
-            elif token == ")" or low in _PRIORITY or (family(token) is None and not (stack and stack[-1] == "with")):
+            elif token == ")" or low in _PRIORITY or not (is_identifier(token, prose) or (stack and stack[-1] == "with")):
                 break
             else:
                 out.append(token)
@@ -54,7 +75,7 @@ def parse(text: str, at: int = 0) -> list[str] | None:
             while stack and stack[-1] != "(" and _PRIORITY[stack[-1]] >= _PRIORITY[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand = True
+            operand, prose = True, token == low
         elif token == ")" and depth:
             while stack[-1] != "(":
                 out.append(stack.pop())
@@ -69,7 +90,8 @@ def parse(text: str, at: int = 0) -> list[str] | None:
 
 
 def evaluate(rpn: list[str]) -> tuple[set[str], bool]:
-    """(labels of all identifiers, whether the terms can be met under permissive ones alone)."""
+    """(labels of all identifiers, whether the terms can be met under permissive ones alone). An identifier
+    of no known family is its own label and not permissive."""
     stack: list[tuple[set[str], bool]] = []
     for token in rpn:
         if token in _PRIORITY and len(stack) >= 2:
@@ -79,8 +101,8 @@ def evaluate(rpn: list[str]) -> tuple[set[str], bool]:
             else:
                 stack.append((a[0] | b[0], a[1] and b[1] if token == "and" else a[1] or b[1]))
         else:
-            label = family(token)
-            stack.append(({label} if label else set(), label in PERMISSIVE))
+            label = family(token) or token.lower()
+            stack.append(({label}, label in PERMISSIVE))
     return stack[-1] if stack else (set(), False)
 
 

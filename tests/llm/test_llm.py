@@ -497,3 +497,12 @@ def test_near_dedup_keeps_one_row_of_each_id(spark):
     got = corpus_pipeline.near_dedup(spark, docs, SF)
     want = [(1, text), (3, other), (4, ""), (None, text.upper()), (None, other), (None, None), (None, None), (None, "")]
     assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(repr, want)) and got.schema == docs.schema
+
+
+def test_license_tags_take_identifiers_of_any_family():
+    automaton = licenses._automaton()
+    for tag, labels, expression, permissive in [("EPL-2.0", "epl-2.0", "EPL-2.0", False), ("Zlib */", "zlib", "Zlib", True), ("0BSD", "bsd", "0BSD", True), ("BSL-1.0", "bsl", "BSL-1.0", True), ("Artistic-2.0", "artistic-2.0", "Artistic-2.0", False), ("BUSL-1.1", "busl-1.1", "BUSL-1.1", False), ("EPL-2.0 OR MIT", "epl-2.0,mit", "EPL-2.0 MIT or", True), ("MIT AND EPL-2.0", "epl-2.0,mit", "MIT EPL-2.0 and", False), ("MIT AND wtfpl", "mit,wtfpl", "MIT wtfpl and", False)]:
+        got = licenses.scan_text(f"// SPDX-License-Identifier: {tag}\ncode".encode(), automaton)
+        assert (got["labels"], got["expressions"], got["permissive"]) == (labels, expression, permissive) and got["score"] > 0
+    assert licenses.parse("MIT and well-known code") == ["MIT"] and licenses.parse("MIT and fair use") == ["MIT"]
+    assert licenses.parse("MIT and EPL-2.0 code") == ["MIT", "EPL-2.0", "and"] and licenses.parse("2024-01-01") is None and licenses.parse("--") is None
