@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ALNUM_WORDS, ship, utf8_values, word_blocks, written
+from .common import ALNUM_WORDS, fresh, ship, sliced, utf8_values, word_blocks, written
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -181,7 +181,7 @@ class _Scanner:
 
     def __call__(self, batches):
         phrases = self.phrases.value
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(self.text)
             texts = utf8_values(batch.column(at))
             n_words, n_hit, found, spans = (np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [[] for _ in texts], [[] for _ in texts])
@@ -267,7 +267,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
 def _found_in_blocks(docs: DataFrame, text: str, blocks: list) -> tuple[DataFrame, str, str]:
     """docs with a row id and a struct (items, spans) of what all blocks find in a row's text (null where
     nothing), and the names of both columns. The ids are written first, so every block sees the same."""
-    row, found = (name + "_" * max(len(c) for c in docs.columns) for name in ("__row", "__found"))  # longer than any column's name
+    row, found = fresh("__row", docs.columns), fresh("__found", docs.columns)
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     schema = f"`{row}` long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     union = None
@@ -297,7 +297,7 @@ class _Recount:
 
     def __call__(self, batches):
         count = lambda t: len(t.translate(ALNUM_WORDS).split())
-        for batch in batches:
+        for batch in sliced(batches):
             words, hits, items, spans = [], [], [], []
             for t, f in zip(utf8_values(batch.column(self.text)), batch.column(self.found).to_pylist()):
                 t, f = t or b"", f or {"items": [], "spans": []}
@@ -315,7 +315,7 @@ def remove_overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", windo
     in the original texts, merged for each row and cut at once."""
     spark = docs.sparkSession
     ship(spark)
-    hit = "__hit" + "_" * max(len(c) for c in docs.columns)  # longer than any column's name
+    hit = fresh("__hit", docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(hit, T.LongType())])
     blocks = [spark.sparkContext.broadcast(p) for p in _phrase_blocks(bench, "item_id", "text", window, block_words)]
     if len(blocks) == 1:
@@ -335,7 +335,7 @@ class _Cut:
         self.text, self.found, self.hit = text, found, hit
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = [n for n in batch.schema.names if n != self.found]
             columns, kept, hits = {n: batch.column(n) for n in names}, [], []
             for t, f in zip(utf8_values(columns[self.text]), batch.column(self.found).to_pylist()):
@@ -371,3 +371,18 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
                         names.add(str(item))
         out.append((doc, len(w), len(hit), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()))
     return out
+
+
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT *, least(len(w), 10) AS n FROM items WHERE len(w) > 0 AND item_id IS NOT NULL),
+starts AS (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM sized),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS v FROM starts),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM words JOIN (SELECT DISTINCT n FROM sized) z ON len(w) >= n),
+found AS (SELECT p.doc_id, p.i, p.n, windows.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS v FROM places) p JOIN windows USING (n, v)),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM_WORDS, ship, utf8_values
+from .common import ALNUM_WORDS, ship, sliced, utf8_values
 
 # Phrases of the contract and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -158,7 +158,7 @@ class _Scan:
 
     def __call__(self, batches):
         automaton = _automaton()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [scan_text(v, automaton) for v in utf8_values(batch.column(self.text))]
             yield pa.RecordBatch.from_arrays([batch.column(self.doc_id), *(pa.array([r[n] for r in rows], t) for n, t in _FIELDS)], [self.doc_id, *(n for n, _ in _FIELDS)])
 
