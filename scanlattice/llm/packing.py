@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ship, utf8_values, written
+from .common import fresh, ship, sliced, utf8_values, written
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -60,8 +60,9 @@ class WordIds(dict):
 
     def _ids(self, word: bytes) -> bytes:
         if len(word) > 1 and word[-1] in b".,":
-            stem = word[:-1].decode("utf-8", "replace")
-            if stem[-1].isalpha():  # a letter and a stop are never in one token
+            last = word[:-1].decode("utf-8", "replace")[-1]
+            # A Latin letter and a stop are never in one token. Others may decompose into a letter and a mark.
+            if last < "\u0250" and last != "\u0130" and last.isalpha():
                 return self[word[:-1]] + self[word[-1:]]
         plain = word.decode("utf-8", "replace")
         if plain.isalpha() and max(plain) < "\u0250" and "\u0130" not in plain:
@@ -100,7 +101,7 @@ class _Pieces:
 
     def __call__(self, batches):
         tokenizer, closing, cap = word_ids(self.path or vocabulary_path()), struct.pack("<I", CLOSING_ID), self.capacity
-        for batch in batches:
+        for batch in sliced(batches):
             texts = utf8_values(batch.column(self.text))
             row, start, length, crc, total = [], [], [], [], []
             for k, value in enumerate(texts):
@@ -203,13 +204,14 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     schema = f"`{doc_id}` {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     names = [doc_id, "start", "length", "ids_crc32", "doc_tokens"]
     cut = docs.select(doc_id, text).mapInArrow(_Pieces(tokenizer, doc_id, text, capacity), schema)
-    pieces = written(cut.withColumn("__n", F.monotonically_increasing_id()), "pieces")
-    pieces = pieces.withColumn("__part", F.shiftright("__n", 33))
-    per_task = pieces.groupBy("length", "__part").agg(F.count("*").alias("__many"))
-    histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("__many").alias("n")).collect()}  # at most `capacity` rows
+    n, part, many, prior = (fresh(x, names) for x in ("n", "part", "many", "prior"))
+    pieces = written(cut.withColumn(n, F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.withColumn(part, F.shiftright(n, 33))
+    per_task = pieces.groupBy("length", part).agg(F.count("*").alias(many))
+    histogram = dict(map(tuple, per_task.groupBy("length").agg(F.sum(many)).collect()))  # at most `capacity` rows
     patterns = spark.sparkContext.broadcast(plan(histogram, capacity))
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_task.select("length", "__part", F.coalesce(F.sum("__many").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__part").orderBy("__n")
-    ranked = pieces.join(offsets, ["length", "__part"]).withColumn("rank", F.col("__before") + F.row_number().over(inside) - 1)
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_task.select("length", part, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(prior))
+    inside = Window.partitionBy("length", part).orderBy(n)
+    ranked = pieces.join(offsets, ["length", part]).withColumn("rank", F.col(prior) + F.row_number().over(inside) - 1)
     return ranked.select(*names, "rank").mapInArrow(_Places(patterns, names), schema + ", sequence_id long, offset long, sequence_tokens long")
