@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLOCK_BYTES, ship, utf8_values
+from .common import BLOCK_BYTES, ship, sliced, utf8_values
 
 BITS = 15
 SIZE = 1 << BITS
@@ -25,14 +25,17 @@ AMBIGUOUS = 0.7
 _GAP = b"    "
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b < 0x80 else b for b in range(256))
 _SPACES = re.compile(rb" +")
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLY = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
 
 
-def features(buffer: bytes) -> np.ndarray:
-    """Hashed n-grams of a buffer, (len(ORDERS), positions); positions near the end have padding."""
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L; numerals such as ½ or Ⅷ are none)."""
+    return any(map(str.isalpha, text))
+
+
+def features(buffer: bytes, n: int) -> np.ndarray:
+    """Hashed n-grams that begin at the first n places of a buffer, (len(ORDERS), n); beyond its end is padding."""
     a = np.frombuffer(buffer + _GAP, np.uint8).astype(np.uint32) + np.uint32(1)
-    n = len(buffer)
     out, mixed = np.empty((len(ORDERS), n), np.int32), a[:n] * _MULTIPLY[0]
     for k in range(1, max(ORDERS)):
         mixed = (mixed ^ (a[k : n + k] * _MULTIPLY[k % 4])) * np.uint32(0x01000193)
@@ -42,11 +45,12 @@ def features(buffer: bytes) -> np.ndarray:
 
 
 def _blocks(texts: list[bytes | None]):
-    """(number of the document, cleaned text) in pieces of bounded size: letters, one space for all else."""
+    """(number of the document, cleaned text, places) in pieces of bounded size: letters, one space for all
+    else. A piece runs on past its places as far as the n-grams that begin there, so a cut changes nothing."""
     for k, t in enumerate(texts):
         clean = _SPACES.sub(b" ", b" " + (t or b"").translate(_LOWER) + b" ")
         for at in range(0, len(clean), BLOCK_BYTES):
-            yield k, clean[at : at + BLOCK_BYTES]
+            yield k, clean[at : at + BLOCK_BYTES + max(ORDERS) - 1], min(BLOCK_BYTES, len(clean) - at)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -85,8 +89,8 @@ class Model:
         self.trust = np.clip(margins.mean(axis=1), 0.01, None)
         self.trust /= self.trust.sum()
 
-    def sums(self, piece: bytes) -> np.ndarray:
-        f = features(piece)
+    def sums(self, piece: bytes, n: int) -> np.ndarray:
+        f = features(piece, n)
         return np.array([sum(float(w[o][f[o]].sum()) for o in range(len(ORDERS))) for w in self.weights])
 
     def decode(self, sums: np.ndarray, n: int) -> tuple[str, float, bool]:
@@ -102,11 +106,11 @@ class Model:
 class _Count:
     def __call__(self, batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             langs = batch.column("lang").to_pylist()
-            for k, piece in _blocks(utf8_values(batch.column("text"))):
+            for k, piece, places in _blocks(utf8_values(batch.column("text"))):
                 own = counts.setdefault(langs[k], np.zeros((len(ORDERS), SIZE), np.int64))
-                f = features(piece)
+                f = features(piece, places)
                 for o in range(len(ORDERS)):
                     own[o] += np.bincount(f[o], minlength=SIZE)
         for lang, own in counts.items():
@@ -116,7 +120,8 @@ class _Count:
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from rows with text and language; at most about per_language documents of each, taken
-    by a hash of doc_id. None if no row has both. What is collected is bounded by languages * features."""
+    by a hash of doc_id. None if no row has both. What is collected is bounded by languages * features.
+    Repeated rows count each time they are drawn; a text under several languages counts for each."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -139,37 +144,41 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 
 class _Predict:
-    def __init__(self, model, names: list[str], text: str):
-        self.model, self.names, self.text = model, names, text
+    def __init__(self, model, names: list[str], text: str, added: tuple[str, str, str]):
+        self.model, self.names, self.text, self.added = model, names, text, added
 
     def __call__(self, batches):
         model = self.model.value
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column(self.text)
             texts = utf8_values(column)
             sums: dict[int, list] = {}
             if model:
-                for k, piece in _blocks(texts):
+                for k, piece, places in _blocks(texts):
                     own = sums.setdefault(k, [0.0, 0])
-                    own[0] = own[0] + model.sums(piece)
-                    own[1] += len(piece)
+                    own[0] = own[0] + model.sums(piece, places)
+                    own[1] += places
             out: tuple[list, list, list] = ([], [], [])
             for k, value in enumerate(column.to_pylist()):
-                if value is None or not model or not _LETTER.search(value):
+                if value is None or not model or not has_letter(value):
                     found = ("und", 0.0, False)
                 else:
                     found = model.decode(*sums[k])
                 for column_, x in zip(out, found):
                     column_.append(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in self.names), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], [*self.names, "__lang", "__score", "__ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in self.names), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], [*self.names, *self.added])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` with __lang, __score and __ambiguous, for every row; whole texts are read.
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", added: tuple[str, str, str] = ("__lang", "__score", "__ambiguous")) -> DataFrame:
+    """The columns `keep` and, by the names in `added`, language, score and whether the nearest codeword is
+    no clear winner, for every row; whole texts are read. ValueError if `keep` has one of those names.
 
-    Null texts and texts without a letter get `und` and 0; without a model all texts do."""
+    Null texts and texts without a letter get `und` and 0; without a model all texts do. Repeated rows
+    get equal values. Of codewords of equal loss the first language in order wins."""
+    if set(keep) & set(added):
+        raise ValueError(f"a column is already named one of {added}")
     spark = docs.sparkSession
     ship(spark)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     read = list(dict.fromkeys([*keep, text]))
-    return docs.select(*read).mapInArrow(_Predict(spark.sparkContext.broadcast(model), keep, text), fields + ", __lang string, __score double, __ambiguous boolean")
+    return docs.select(*read).mapInArrow(_Predict(spark.sparkContext.broadcast(model), keep, text, added), fields + f", `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
