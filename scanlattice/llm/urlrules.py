@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import fresh
+
 PREFIX_HEX = 8
 # Fixed values: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -40,13 +42,15 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     and null keys are each returned; other columns are not read."""
     rules = rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path")).where("r_host is not null and r_path is not null").distinct()
     rules = rules.withColumn("digest", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256))
-    # Rows of rules whose shape (labels, path length) is equal share one expression: at most some hundreds of shapes.
+    # Rules of equal shape (labels, path length) share one expression. However many rules there are, there
+    # are at most as many shapes as label counts (a host name has 127 at most) times path lengths in use.
     shapes = [(r[0], r[1]) for r in rules.select(F.size(F.split("r_host", r"\.")), F.length("r_path")).distinct().collect()]
-    base = pages.select(F.col(key).alias("__key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    given = fresh("__key", ["host", "path", "rule", "verdict"])
+    base = pages.select(F.col(key).alias(given), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     # A URL is looked up once, however many rows repeat its host and path.
     parts = base.select("host", "path").where("host != ''").distinct()
     if not shapes:
-        return base.select(F.col("__key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return base.select(F.col(given).alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.split("host", r"\.")
     wanted = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("size")) for a, b in sorted(shapes)])
     fits = F.filter(wanted, lambda s: (s["labels"] <= F.size(labels)) & (s["size"] <= F.length("path")))
@@ -56,8 +60,11 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     confirmed = candidates.where("full = digest")
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"), (F.col("r_verdict") == "block").cast("int").alias("c"))
     best = confirmed.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
-    out = base.join(best, ["host", "path"], "left")
-    return out.select(F.col("__key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    found = base.where("host != ''").join(best, ["host", "path"], "left")
+    # URLs without a host, however many, are one key: they never go through the join.
+    hostless = base.where("host = ''").withColumn("best", F.lit(None).cast("struct<rule:string,verdict:string>"))
+    out = found.select(given, "host", "path", "best").unionByName(hostless.select(given, "host", "path", "best"))
+    return out.select(F.col(given).alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""
