@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import SPACED_WORDS, mix64, ship, utf8_values, word_blocks, written
+from .common import SPACED_WORDS, mix64, ship, sliced, utf8_values, word_blocks, written
 from .components import components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ class _Signatures:
         self.doc_id, self.text, self.side = doc_id, text, side
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             count, digest, first, second = [], [], [], []
             for s in shingle_sets(utf8_values(batch.column(self.text))):
                 count.append(len(s))
@@ -164,16 +164,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A document without words, or with null text, has no shingles and is linked with nothing. Repeated
     rows are one node and are each returned; a doc_id that repeats with other texts is one node with
     the links of all of them. A null doc_id is linked with nothing and has a null component. Extra
-    columns are not read. A pair at the threshold shares none of the tables with probability of at most MISS.
+    columns are not read. Ids of any type with an order will do; integers come back as long. A pair at the threshold shares none of the tables with probability of at most MISS.
     Within a bucket that still holds several components after the first round, sketches of all members
     outside the largest component are compared (in the join, by XOR of longs); few pairs leave it."""
     ship(docs.sparkSession)
     side = side_for(percent)
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, T.IntegralType):
+        return _by_number(docs, doc_id, text, percent)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(source.mapInArrow(_Signatures("doc_id", "text", side), "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"), "signatures")
     sets = signed.where("digest is not null and doc_id is not null")
-    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("doc"))
-    nodes = sets.join(classes.withColumnRenamed("doc", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("doc"), "first", "second")
+    # Written first, so that the join has plain exchanges on both sides, which a very common set can be split over.
+    classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")).where("n > 1").select("digest", "doc"), "classes")
+    tagged = written(sets.join(classes, "digest", "left").select(F.col("doc_id"), F.coalesce("doc", "doc_id").alias("doc"), F.when(F.coalesce("doc", "doc_id") == F.col("doc_id"), F.col("first")).alias("first"), "second"), "tagged")
+    nodes = tagged.where("first is not null").select("doc", "first", "second")
 
     order = F.element_at(F.array(*[F.lit(x) for x in _draws(side)[2]]), _table_of(side)[0] + 1)
     rows = _bucket_rows(nodes, side)
@@ -186,7 +191,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seen = written(compared(pairs, texts), "compared")
     linked = F.col("common") * 100 >= F.col("together") * percent
     links = seen.where(linked).select(F.col("doc").alias("u"), F.col("centre").alias("v"))
-    repeats = sets.join(classes, "digest").where("doc_id != doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
+    repeats = tagged.where("doc_id != doc").select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
     first = components(links.union(repeats))
 
     rest = written(_left_over(shared, seen, first, texts, percent, side), "rest")
@@ -197,6 +202,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _by_number(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """near_duplicates for ids that are no integers: by numbers in the ids' order."""
+    ids = docs.select(F.col(doc_id).alias("id")).where("id is not null").distinct().orderBy("id")
+    numbers = written(written(ids, "ids").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbered = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(numbers, "id", "left").select(F.col("number").alias("doc_id"), "text")
+    found = near_duplicates(numbered, percent=percent)
+    named = found.join(numbers.select(F.col("number").alias("doc_id"), "id"), "doc_id", "left").join(numbers.select(F.col("number").alias("component_id"), F.col("id").alias("component")), "component_id", "left")
+    return named.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 class _AddDigest:
     """mapInArrow function: adds the digest of the shingle set, null for a text without words."""
 
@@ -204,7 +219,7 @@ class _AddDigest:
         self.text, self.name = text, name
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             digests = [_digest(s) if len(s) else None for s in shingle_sets(utf8_values(batch.column(self.text)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, self.name])
 
@@ -241,7 +256,7 @@ class _Sketch:
         rng = np.random.default_rng(97)
         mul = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, halves = np.empty((batch.num_rows, SKETCH), np.uint8), np.empty((batch.num_rows, 2 * self.side), np.int64)
             for k, s in enumerate(shingle_sets(utf8_values(batch.column("text")))):
                 least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
@@ -303,3 +318,16 @@ def _left_over(shared: DataFrame, seen: DataFrame, first: DataFrame, texts: Data
     pairs = pairs.select(F.greatest("d1", "doc").alias("doc"), F.least("d1", "doc").alias("centre")).distinct()
     done = seen.select(F.greatest("doc", "centre").alias("doc"), F.least("doc", "centre").alias("centre"))
     return pairs.join(done, ["doc", "centre"], "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM words UNION SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.other)
+SELECT words.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id, words.doc_id = c.component_id AS kept
+FROM words JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
