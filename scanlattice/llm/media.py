@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, ship, utf8_values, written
+from .common import ship, sliced, utf8_values, work_path
 
 UNIT = 64
 ARCHIVE_BYTES = 24 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 8 << 20
 TRIES = 3
+MANIFEST = "manifest"
 _PNG = b"\x89PNG\r\n\x1a\n"  # fixed value: the format's signature
 
 
@@ -98,11 +99,11 @@ class _Write:
         self.buffer, self.many, self.seen = io.BytesIO(), 0, 0
         self.archive = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_STORED)
         done = []
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(self.doc_id).to_pylist(), utf8_values(batch.column(self.text))):
                 text = text or b""
                 # The row number keeps members of repeated ids apart; the length is what padding hides.
-                name = f"{self.seen}_{len(text)}_{'' if doc is None else doc}.png"
+                name = f"{self.seen}_{len(text)}_{'' if doc is None else 'i' + doc.encode().hex()}.png"
                 self.archive.writestr(zipfile.ZipInfo(name), encode(payload_of(text)))
                 self.many, self.seen = self.many + 1, self.seen + 1
                 if self.buffer.tell() >= ARCHIVE_BYTES:
@@ -135,7 +136,8 @@ SCHEMA = "member string, archive string, offset long, media binary, error string
 class MediaArchive(DataSource):
     """spark.read.format("media_archive").load(folder): a row for each member of the ZIP archives there.
 
-    Options: names (a Parquet list is not needed: comma-joined archive names; default all), range_bytes, tries."""
+    A folder that store() made has a manifest (names and sizes, Parquet); then only those archives are
+    read. Options: range_bytes, tries."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,14 +155,19 @@ class _Reader(DataSourceReader):
         self.folder = options["path"]
         self.step = int(options.get("range_bytes", RANGE_BYTES))
         self.tries = int(options.get("tries", TRIES))
-        self.names = set(options["names"].split(",")) if options.get("names") else None
 
     def partitions(self):
+        import pyarrow.parquet as pq
         from pyarrow import fs
 
         filesystem, path = _filesystem(self.folder)
-        found = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        files = sorted((x.base_name, x.size) for x in found if x.base_name.endswith(".zip") and (self.names is None or x.base_name in self.names))
+        found = filesystem.get_file_info(fs.FileSelector(f"{path}/{MANIFEST}", allow_not_found=True))
+        if found:  # no listing: what an attempt that did not count leaves behind is never planned
+            tables = [pq.read_table(x.path, filesystem=filesystem) for x in found if x.base_name.endswith(".parquet")]
+            files = sorted((n, b) for t in tables for n, b in zip(*(t.column(c).to_pylist() for c in ("name", "bytes"))))
+        else:
+            found = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+            files = sorted((x.base_name, x.size) for x in found if x.base_name.endswith(".zip"))
         return [Range(n, low, min(low + self.step, size)) for n, size in files for low in range(0, size, self.step)] or [Range("", 0, 0)]
 
     def read(self, partition: Range):
@@ -168,8 +175,13 @@ class _Reader(DataSourceReader):
             return
         filesystem, path = _filesystem(self.folder)
         out, held = ([], [], [], [], []), 0
-        with filesystem.open_input_file(f"{path}/{partition.path}") as f:
-            members = zipfile.ZipFile(f).infolist()
+        try:
+            with filesystem.open_input_file(f"{path}/{partition.path}") as f:
+                members = zipfile.ZipFile(f).infolist()
+        except (zipfile.BadZipFile, struct.error, ValueError) as e:  # a damaged archive is one row, of its first range
+            if partition.low == 0:
+                yield _batch(([None], [partition.path], [0], [None], [f"{type(e).__name__}: {e}"]))
+            return
         for m in members:
             if not partition.low <= m.header_offset < partition.high:
                 continue
@@ -195,10 +207,14 @@ class _Reader(DataSourceReader):
                     name, extra = struct.unpack_from("<HH", head, 26)
                     f.seek(m.header_offset + 30 + name + extra)
                     data = f.read(m.compress_size)
-                if len(data) != m.compress_size or zlib.crc32(data) != m.CRC:
+                if m.flag_bits & 1 or m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    return None, "encrypted, or packed by an unknown method"
+                if m.compress_type == zipfile.ZIP_DEFLATED:
+                    data = zlib.decompressobj(-15).decompress(data, m.file_size + 1)
+                if len(data) != m.file_size or zlib.crc32(data) != m.CRC:
                     raise OSError("checksum differs")
                 return data, None
-            except OSError as e:
+            except (OSError, zlib.error, struct.error) as e:
                 if not left:
                     return None, str(e)
                 time.sleep(0.05)
@@ -210,27 +226,16 @@ def _batch(columns) -> pa.RecordBatch:
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
-    """Writes every text of docs as a PNG member; returns the folder, which holds whole archives only of
-    attempts that counted (others are removed)."""
+    """Writes every text of docs as a PNG member; returns the folder, whose manifest names the archives of
+    the attempts that counted."""
     spark = docs.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark)}/work/media-{uuid.uuid4().hex}"
-    names = written(docs.select(doc_id, text).mapInArrow(_Write(folder, doc_id, text), "name string, bytes long"), "archives")
-    _drop_others(folder, names)
+    folder = work_path(spark, "media")
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    rows.mapInArrow(_Write(folder, "doc_id", "text"), "name string, bytes long").write.parquet(f"{folder}/{MANIFEST}")
     return folder
 
 
-def _drop_others(folder: str, names: DataFrame) -> None:
-    """Removes archives of attempts that did not count; their names, one for each 24 MB, are streamed."""
-    from pyarrow import fs
-
-    filesystem, path = _filesystem(folder)
-    there = {x.base_name for x in filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))}
-    there -= {r["name"] for r in names.select("name").toLocalIterator()}
-    for name in there:
-        filesystem.delete_file(f"{path}/{name}")
-
-
 def load(spark: SparkSession, folder: str, **options) -> DataFrame:
     ship(spark)
     spark.dataSource.register(MediaArchive)
@@ -248,17 +253,20 @@ class _Features:
                     raise OSError(f"{member}: {error}")  # the task is tried again; nothing is left out
                 _, size, doc = member.removesuffix(".png").split("_", 2)
                 samples = decode(media)
-                row = (int(doc) if doc else None, int(size), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+                row = (bytes.fromhex(doc[1:]).decode() if doc else None, int(size), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
                 for column, x in zip(out, row):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every text, reads it back through the data source and describes it: one row per row of docs.
 
-    Null and empty texts are UNIT zero bytes; repeated rows and null ids are kept (ids are integers);
-    an empty table gives no rows. A member that stays unreadable fails the job instead of going missing."""
-    members = load(docs.sparkSession, store(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
-    return members.select("member", "media", "error").mapInArrow(_Features(), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    Null and empty texts are UNIT zero bytes; repeated rows, null ids and ids of any type that goes to text
+    and back are kept; an empty table gives no rows; other columns are not read. A member that stays
+    unreadable fails the job instead of going missing."""
+    kind = docs.select(doc_id).schema[0].dataType
+    members = load(docs.sparkSession, store(docs, doc_id, text))
+    rows = members.select("member", "media", "error").mapInArrow(_Features(), "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", doc_id)
