@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urlrules": urlrules.ORACLE}
+    return {"op3_secrets": secrets.ORACLE, "op6_urlrules": urlrules.ORACLE, "op8_neardup": neardup.ORACLE, "op10_decontam": decontam.ORACLE}
