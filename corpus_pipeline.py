@@ -10,50 +10,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanlattice.llm import decontam, langid, neardup, packing, secrets
-from scanlattice.llm.common import table, written
+from scanlattice.llm.common import fresh, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, or no letter) and those whose nearest codeword is no nearer
-    than another one."""
+    """Drops texts without a language (null, or no letter) and those whose nearest codeword has a share of
+    less than langid.AMBIGUOUS among all. Learns as op5 does. Repeated rows are each judged; without any
+    row to learn from all go. Columns of any name stay."""
     columns = docs.columns
+    added = tuple(fresh(x, columns) for x in ("__lang", "__score", "__ambiguous"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     model = langid.fit(docs.where(~held))
-    rows = langid.predict(docs, model, columns)
-    return rows.where("`__lang` != 'und' and not `__ambiguous`").select(*[F.col(f"`{c}`") for c in columns])
+    rows = langid.predict(docs, model, columns, added=added)
+    return rows.where((F.col(added[0]) != "und") & ~F.col(added[2])).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id; of rows that repeat its id, one: that of
     the longest text, then the least in the columns' order. Rows without id are compared with each other
     only, by equal shingle sets; those without words all stay."""
-    ids = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("__kept"), F.count("*").alias("__n"))
-    ids = written(ids.where("not __kept or __n > 1").select(F.col("doc_id").alias("__id"), "__kept"), "ids")
-    once = docs.where("doc_id is not null").join(ids, docs.doc_id == F.col("__id"), "left_anti")
-    again = docs.join(ids.where("__kept"), docs.doc_id == F.col("__id"), "left_semi")
-    nameless = neardup.with_digest(docs.where("doc_id is null"), "__digest")
-    wordless = nameless.where("__digest is null").drop("__digest")
-    return once.union(_one_each(again, "doc_id")).union(_one_each(nameless.where("__digest is not null"), "__digest").select(*docs.columns)).union(wordless)
+    kept, many, own, digest = (fresh(x, docs.columns) for x in ("__kept", "__n", "__id", "__digest"))
+    ids = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias(kept), F.count("*").alias(many))
+    ids = written(ids.where(~F.col(kept) | (F.col(many) > 1)).select(F.col("doc_id").alias(own), kept), "ids")
+    once = docs.where("doc_id is not null").join(ids, docs.doc_id == F.col(own), "left_anti")
+    again = docs.join(ids.where(kept), docs.doc_id == F.col(own), "left_semi")
+    nameless = neardup.with_digest(docs.where("doc_id is null"), digest)
+    wordless = nameless.where(F.col(digest).isNull()).drop(digest)
+    return once.union(_one_each(again, "doc_id")).union(_one_each(nameless.where(F.col(digest).isNotNull()), digest).select(*docs.columns)).union(wordless)
 
 
 def _one_each(rows: DataFrame, key: str) -> DataFrame:
     """A row for each key. An aggregate, so that many rows of a key never meet in one task."""
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     first = F.min(F.struct(-F.coalesce(F.length("text"), F.lit(-1)), row.alias("row")))
-    return rows.groupBy(F.col(key).alias("__key")).agg(first.alias("first")).select("first.row.*")
+    return rows.groupBy(F.col(key).alias(fresh("__key", rows.columns))).agg(first.alias("first")).select("first.row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts; a text that had nothing else stays, empty."""
+    """Cuts benchmark passages out of the texts; a text that had nothing else stays, empty. Null and empty
+    texts stay as they are, repeated rows are each cut, columns of any name stay."""
     return decontam.remove_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every secret in the texts."""
+    """Masks every secret in the texts. Null and empty texts stay as they are, equal texts are scanned once
+    and masked in every row, columns of any name stay."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in windows, one row each. Null and empty texts are one closing id, repeated rows are
+    each packed, other columns are not read."""
     return packing.pack(docs)
 
 
