@@ -41,9 +41,14 @@ def convert(c: Column, case: str) -> Column:
     raise ValueError(f"unknown case {case}")
 
 
+def octets(c: Column) -> Column:
+    """The UTF-8 bytes as two-digit hexadecimal strings."""
+    return F.filter(F.split(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "$1,"), ","), lambda x: x != "")
+
+
 def entropy_millibits(c: Column) -> Column:
-    """Shannon entropy of a value's characters, in thousandths of a bit."""
-    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    """Shannon entropy of a value's bytes, in thousandths of a bit."""
+    letters = octets(c)
     n = F.size(letters)
     share = lambda x: F.size(F.filter(letters, lambda y: y == x)) / n
     total = F.aggregate(F.transform(F.array_sort(F.array_distinct(letters)), lambda x: -share(x) * F.log2(share(x))), F.lit(0.0), lambda a, b: a + b)
@@ -51,50 +56,61 @@ def entropy_millibits(c: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """`*` any but a slash, `**` any, `?` one."""
-    out = "".join({"**": ".*", "*": "[^/]*", "?": "."}.get(p, re.escape(p)) for p in re.findall(r"\*\*|\*|\?|[^*?]+", glob))
+    """`*` any but a slash, `**` any, `?` one but a slash."""
+    out = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in re.findall(r"\*\*|\*|\?|[^*?]+", glob))
     return f"^{out}$"
 
 
 def basis_points(n: Column, d: Column) -> Column:
-    """n/d in truncated ten-thousandths, 0 for an empty denominator."""
-    return F.when(d == 0, F.lit(0).cast("long")).otherwise(F.floor(n * 10000 / d).cast("long"))
+    """n/d in truncated ten-thousandths; 0 for an empty denominator, 10,000 beyond 2^32-1. Whole numbers
+    throughout; the product saturates instead of overflowing."""
+    product = F.when(n > 922337203685477, F.lit(9223372036854775807)).otherwise(F.least(n, F.lit(922337203685477)).cast("long") * 10000)
+    quotient = F.call_function("div", product, F.when(d != 0, d.cast("long")))
+    return F.when(quotient > 4294967295, F.lit(10000)).otherwise(F.coalesce(quotient, F.lit(0))).cast("long")
 
 
 def row_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 16))
 
 
-def semver(c: Column) -> Column:
-    """(major, minor, patch) of the digits in front; null where there are none."""
-    part = lambda k: F.regexp_extract(c, r"^(\d+)\.(\d+)\.(\d+)", k)
-    return F.when(part(1) != "", F.struct(*[part(k).cast("int").alias(n) for k, n in ((1, "major"), (2, "minor"), (3, "patch"))]))
+def fnv_id(prefix: str, *parts: Column) -> Column:
+    """prefix and FNV-1a of the parts joined by NUL, so that no two lists of parts are one text."""
+    return F.concat(F.lit(prefix), fnv1a_hex(F.array_join(F.array(*parts), "\u0000", "")))
 
 
-def markdown_escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\`*_{}\[\]<>()#+!|-])", r"\\$1")
+# Fixed value: the grammar of a semantic version.
+SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
 
 
-def file_class(path: Column) -> Column:
-    """Language or reason of a path, by its extension; paths without a known one are unsupported."""
-    # Extensions and their classes.
-    kinds = {"py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "cs": "csharp", "php": "php", "kt": "kotlin", "c": "c", "cpp": "cpp", "vue": "vue", "cshtml": "razor", "aspx": "webforms", "ejs": "embedded_template", "env": "secret_only", "html": "secret_only"}
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    out = F.lit("unsupported")
-    for e, k in kinds.items():
-        out = F.when(ext == e, F.lit(k)).otherwise(out)
-    return out
+def semver(c: Column) -> Column:
+    """(major, minor, patch, whole, pre) in the order of precedence: a prerelease comes before its release,
+    numbers before words, fewer identifiers before more. Null where it is no version."""
+    part = lambda k: F.regexp_extract(c, SEMVER, k)
+    number = lambda x: x.rlike(r"^\d+$")
+    pre = F.transform(F.filter(F.split(part(4), r"\."), lambda x: x != ""), lambda x: F.struct((~number(x)).alias("word"), F.when(number(x), x.cast("decimal(38,0)")).alias("number"), F.when(~number(x), x).alias("text")))
+    fields = [part(k).cast("long").alias(n) for k, n in ((1, "major"), (2, "minor"), (3, "patch"))]
+    return F.when(c.rlike(SEMVER), F.struct(*fields, (part(4) == "").alias("whole"), pre.alias("pre")))
 
 
-def is_test_path(path: Column) -> Column:
-    # Path components of code that is not shipped.
-    names = ["test", "tests", "__tests__", "spec", "fixtures", "examples", "samples"]
-    return F.exists(F.split(F.lower(path), "/"), lambda p: p.isin(names) | p.rlike(r"(^test_|_test\.|\.(test|spec)\.)"))
+def is_prerelease(c: Column) -> Column:
+    return c.rlike(SEMVER) & (F.regexp_extract(c, SEMVER, 4) != "")
+
+
+def markdown_escape(c: Column) -> Column:
+    """Prose for a Markdown report: on one line, with what would be emphasis, a link or a tag escaped. Spans in
+    backticks stay as they are."""
+    def prose(x: Column) -> Column:
+        return F.replace(F.replace(F.regexp_replace(F.regexp_replace(x, r"([\\\\*_\[\]])", r"\\$1"), r"[\r\n]", " "), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    # Pieces between backticks: those at odd places are spans, unless the last one is not closed.
+    parts = F.split(c, "`", -1)
+    code = lambda i: (i % 2 == 1) & (i < F.size(parts) - 1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(code(i), x).otherwise(prose(x))), "`")
 
 
 def fnv1a_hex(c: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, 64 bits, as 16 hex digits. Kept as two 32-bit halves, so no product overflows."""
-    octets = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "$1,"), ","), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+    values = F.transform(octets(c), lambda x: F.conv(x, 16, 10).cast("long"))
     mask = 0xFFFFFFFF
 
     def step(h: Column, b: Column) -> Column:
@@ -104,7 +120,7 @@ def fnv1a_hex(c: Column) -> Column:
         return F.struct((h["hi"] * 0x1B3 + low * 256 + carry).bitwiseAND(mask).alias("hi"), product.bitwiseAND(mask).alias("lo"))
 
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
-    return F.aggregate(octets, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
+    return F.aggregate(values, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
 
 
 def line_of(text: Column, offset: Column) -> Column:
