@@ -63,10 +63,12 @@ def glob_regex(glob: str) -> str:
 
 def basis_points(n: Column, d: Column) -> Column:
     """n/d in truncated ten-thousandths; 0 for an empty denominator, 10,000 beyond 2^32-1. Whole numbers
-    throughout; the product saturates instead of overflowing."""
-    product = F.when(n > 922337203685477, F.lit(9223372036854775807)).otherwise(F.least(n, F.lit(922337203685477)).cast("long") * 10000)
-    quotient = F.call_function("div", product, F.when(d != 0, d.cast("long")))
-    return F.when(quotient > 4294967295, F.lit(10000)).otherwise(F.coalesce(quotient, F.lit(0))).cast("long")
+    throughout; the product saturates at 2^64-1 instead of overflowing."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    product = F.least((whole(n) * 10000).cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)"))
+    large = product >= (whole(d) * 4294967296).cast("decimal(38,0)")
+    quotient = F.call_function("div", product, F.when((d != 0) & ~large, whole(d)))
+    return F.when(d == 0, F.lit(0)).when(large, F.lit(10000)).otherwise(quotient).cast("long")
 
 
 def row_id(prefix: str, *parts: Column) -> Column:

@@ -6,9 +6,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _covers() -> Column:
-    """A mark holds for its whole key, or for its own line and the next one; without a rule, for all rules."""
-    near = F.col("m_whole") | (F.col("line") == F.col("m_line")) | (F.col("line") == F.col("m_line") + 1)
-    return near & (F.col("m_rule").isNull() | (F.col("rule") == F.col("m_rule")))
+    """A mark holds for its whole key, or for the line that it is for; without a rule, for all rules."""
+    return (F.col("m_whole") | (F.col("line") == F.col("m_line"))) & (F.col("m_rule").isNull() | (F.col("rule") == F.col("m_rule")))
+
+
+def marks_of(comments: DataFrame) -> DataFrame:
+    """comments(key, line, rules, statement_line, next_line) -> marks(key, line, rule, whole), a row for each rule (null: all).
+
+    Lines count from 0. A comment behind code (statement_line is the line where that statement begins) is for that line;
+    one alone on its line is for the next line; one alone on the first line, with nothing on the second, is
+    for the whole key. next_line: where the next node begins, null for none."""
+    alone = F.col("statement_line").isNull()
+    whole = alone & (F.col("line") == 0) & F.coalesce(F.col("next_line") >= 2, F.lit(True))
+    line = F.when(alone, F.col("line") + 1).otherwise(F.col("statement_line"))
+    rules = F.when(F.size("rules") > 0, F.col("rules")).otherwise(F.array(F.lit(None).cast("string")))
+    return comments.select("key", line.alias("line"), F.explode(rules).alias("rule"), whole.alias("whole"))
+
+
+def mark_rules(text: Column, word: str) -> Column:
+    """The rules that a comment with the mark's word names behind a colon; empty for all; null without the word."""
+    named = F.regexp_extract(text, word + r"\s*:\s*([^\n]*)", 1)
+    return F.when(text.contains(word), F.filter(F.transform(F.split(named, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def _marks(marks: DataFrame) -> DataFrame:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def fair_limit(rows: DataFrame, family: str, order: list[str], n: int) -> DataFrame:
-    """One row of each family in turn until n are taken."""
-    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(family).orderBy(*order)))
+    """One row of each family in turn until n are taken. A family gives at most n, so ranks stop there and
+    each task keeps no more than that of a family before the exchange."""
+    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(family).orderBy(*order))).where(F.col("turn") <= n)
     return turn.orderBy("turn", family, *order).limit(n)
 
 
 def capped(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
-    """The first n rows of each key, and whether the key had more."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("truncated", F.count("*").over(w) > n).where(F.col("place") <= n)
+    """The first n rows of each key, and whether the key had more. The count is an aggregate of its own, so that
+    ranks can stop at n in every task before the exchange."""
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
+    many = rows.groupBy(key).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > n).select(key, F.lit(True).alias("truncated"))
+    return first.join(many, key, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def sampled(rows: DataFrame, key: Column, seed: str, percent: int) -> DataFrame:
@@ -40,3 +43,47 @@ def follow_up(claims: DataFrame, repair_point: str, order: list, most: int = 20)
     lead = first.where("r = 1").select(repair_point, *order).orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     taken = lead.crossJoin(F.broadcast(size)).where("place <= cap").select(repair_point, *order, F.lit(True).alias("taken"))  # at most `most` rows beside one
     return first.join(F.broadcast(taken), [repair_point, *order], "left").withColumn("decision", F.when(F.col("taken"), "selected").when(F.col("r") > 1, "shared_repair_point").otherwise("over_cap")).drop("taken", "r")
+
+
+# Reasons to look again that a further reading can settle, in order; severities in order.
+REASONS = ("conflicting_evidence", "control_applicability", "missing_local_evidence")
+SEVERITIES = ("critical", "high", "medium", "unknown", "low", "note")
+
+
+def audit_signals(claims: DataFrame) -> DataFrame:
+    """(review, reason) that an issue's own context raises. claims(review, decision, severity, context_kind, applicability, impact)."""
+    path = (F.col("context_kind") == "application_path") & F.col("applicability").isin("dormant", "unresolved", "local_contract")
+    severe = F.col("severity").isin("high", "critical") & ((F.col("context_kind") == "local_unsafe_construction") | ((F.col("impact") == "conditional") & F.col("applicability").isin("supported_optional", "local_contract")))
+    signals = F.array(F.when(path, F.when(F.col("applicability") == "dormant", REASONS[0]).otherwise(REASONS[1])), F.when(F.col("impact") == "unresolved", REASONS[0]), F.when(severe, REASONS[1]))
+    return claims.where("decision = 'issue' and context_kind is not null").select("review", F.explode(F.array_distinct(F.array_compact(signals))).alias("reason"))
+
+
+def select_follow_ups(claims: DataFrame, notes: DataFrame, scope: tuple[str, ...] = ("issue", "not_issue", "needs_review"), most: int = 20) -> DataFrame:
+    """claims(review, decision, severity, point, and the context's columns) with an outcome: selected, shared_repair_point,
+    fast_cap, outside_verdict_scope, unavailable_deciding_fact, resolved_blocker_nomination or no_actionable_nomination.
+
+    notes(review, reason). A claim is ranked by whether its own context speaks against it, the best reason, its
+    severity and its id; one claim is taken of each repair point (null: its own), min(most, a quarter of all claims
+    in scope, rounded up) in all. ValueError unless 1 <= most <= 20."""
+    if not 1 <= most <= 20:
+        raise ValueError("a fast follow-up takes 1 to 20 claims")
+    known = F.array(*map(F.lit, REASONS))
+    own = notes.groupBy("review").agg(F.array_distinct(F.collect_list("reason")).alias("noted"))
+    audit = audit_signals(claims).groupBy("review").agg(F.collect_set("reason").alias("signals"))
+    none = F.array().cast("array<string>")
+    rows = claims.join(own, "review", "left").join(audit, "review", "left").withColumn("noted", F.coalesce("noted", none)).withColumn("signals", F.coalesce("signals", none))
+    useful = F.array_union(F.array_intersect("noted", known), F.col("signals"))
+    blocked = F.size(F.array_except("noted", known)) > 0
+    out = F.when(~F.col("decision").isin(*scope), "outside_verdict_scope").when(blocked, F.when(F.col("decision") == "needs_review", "unavailable_deciding_fact").otherwise("resolved_blocker_nomination")).when(F.size(useful) == 0, "no_actionable_nomination")
+    rows = rows.withColumn("outcome", out)
+    best = F.array_min(F.transform(useful, lambda r: F.array_position(known, r)))
+    severity = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)), F.lit(4))
+    order = F.struct(F.when(F.size("signals") > 0, 0).otherwise(1).alias("a"), best.alias("b"), severity.alias("c"), F.col("review").alias("d"))
+    ranked = rows.where("outcome is null").withColumn("order", order).withColumn("key", F.coalesce(F.concat(F.lit("p"), "point"), F.concat(F.lit("r"), F.col("review").cast("string"))))
+    lead = ranked.groupBy("key").agg(F.min("order").alias("order"))  # one claim of each repair point
+    top = lead.orderBy("order").limit(most).withColumn("place", F.row_number().over(Window.orderBy("order")))  # at most `most` rows
+    size = claims.agg(F.least(F.lit(most), F.ceil(F.count_if(F.col("decision").isin(*scope)) * 0.25)).alias("cap")).withColumn("k", F.lit(1))
+    taken = top.withColumn("k", F.lit(1)).join(F.broadcast(size), "k").where("place <= cap").select("key", "order", F.lit("selected").alias("taken"))
+    keys = taken.select("key", F.lit("shared_repair_point").alias("shared"))
+    chosen = ranked.join(F.broadcast(taken), ["key", "order"], "left").join(F.broadcast(keys), "key", "left").select("review", F.coalesce("taken", "shared", F.lit("fast_cap")).alias("decided"))
+    return rows.join(chosen, "review", "left").select(*claims.columns, F.coalesce("outcome", "decided").alias("outcome"))

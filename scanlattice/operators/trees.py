@@ -14,6 +14,8 @@ from scanlattice.functions.shipping import ship
 
 # Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Nodes that go to Spark at once.
+BATCH = 8192
 SCHEMA = "doc long, pre int, parent int, last int, depth int, sib int, kind string, text string"
 
 
@@ -61,13 +63,24 @@ class _Builder(HTMLParser):
 
 class _Parse:
     def __call__(self, batches):
+        out = []
         for batch in batches:
             for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 builder = _Builder()
                 builder.feed(page or "")
                 rows = builder.done()
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], kinds[k]) for k, c in enumerate((0, 1, 2, 3, 4, 5, 6)))], ["doc", "pre", "parent", "last", "depth", "sib", "kind", "text"])
+                out += [(doc, *r) for r in rows]
+                if len(out) >= BATCH:
+                    yield self._batch(out)
+                    out = []
+            if out:
+                yield self._batch(out)
+                out = []
+
+    @staticmethod
+    def _batch(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc", "pre", "parent", "last", "depth", "sib", "kind", "text"])
 
 
 def parse_html(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:

@@ -4,9 +4,12 @@ A walk lists metadata only; contents are read for files that stay and are small
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scanlattice.functions import text as T
+from scanlattice.functions.shipping import ship
 
 TEXT_LIMIT = 2 * 1024 * 1024
 # Directories that hold no authored sources, by name, and by parent and name.
@@ -108,12 +111,66 @@ def selection(path: str) -> str:
     return path.strip("/")
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every file below root; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    return files.select(F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path")).alias("path"), F.col("path").alias("uri"), "length")
+def _is_pruned(parent: str, name: str) -> bool:
+    return name.lower() in PRUNED or f"{parent}/{name}".lower() in PRUNED_BELOW
+
+
+class _List:
+    """mapInArrow function over (folder): every file below each, hidden ones too. Folders that are not entered are
+    a row with a slash behind the path; links are not followed and have no length."""
+
+    def __init__(self, root: str, prune: bool):
+        self.root, self.prune = root, prune
+
+    def __call__(self, batches):
+        from pyarrow import fs
+
+        filesystem, base = fs.FileSystem.from_uri(self.root)
+        local = isinstance(filesystem, fs.LocalFileSystem)
+        for batch in batches:
+            open_ = [f for f in batch.column("folder").to_pylist()]
+            out = []
+            while open_:
+                folder = open_.pop()
+                for x in filesystem.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
+                    path = f"{folder}/{x.base_name}" if folder else x.base_name
+                    if local and os.path.islink(x.path):
+                        out.append((path, None))
+                    elif x.type == fs.FileType.File:
+                        out.append((path, x.size))
+                    elif self.prune and _is_pruned(folder.rsplit("/", 1)[-1], x.base_name):
+                        out.append((path + "/", None))
+                    else:
+                        open_.append(path)
+                if len(out) > 8192:
+                    yield _paths(out)
+                    out = []
+            yield _paths(out)
+
+
+def _paths(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "length"])
+
+
+def listing(spark: SparkSession, root: str, prune: bool = True) -> DataFrame:
+    """(path, uri, length) of every file below root, a URI; contents are not read. Folders of the first level
+    are listed by tasks of their own. Spark's own file sources leave hidden files out, so they are not used."""
+    from pyarrow import fs
+
+    ship(spark)
+    root = root.rstrip("/")
+    filesystem, base = fs.FileSystem.from_uri(root)
+    first = filesystem.get_file_info(fs.FileSelector(base))
+    local = isinstance(filesystem, fs.LocalFileSystem)
+    folders = [x.base_name for x in first if x.type == fs.FileType.Directory and not (local and os.path.islink(x.path))]
+    files = [(x.base_name, None if local and os.path.islink(x.path) else x.size) for x in first if x.base_name not in folders]
+    files += [(f + "/", None) for f in folders if prune and _is_pruned("", f)]
+    enter = [(f,) for f in folders if not (prune and _is_pruned("", f))]
+    rows = spark.createDataFrame(files, "path string, length long")
+    if enter:
+        dealt = spark.createDataFrame(enter, "folder string").repartition(min(len(enter), 4096))
+        rows = rows.unionByName(dealt.mapInArrow(_List(root, prune), "path string, length long"))
+    return rows.select("path", F.concat(F.lit(root + "/"), "path").alias("uri"), "length")
 
 
 def walk(files: DataFrame, selected: str | None = None, include_nonproduction: bool = False, ignored_names: tuple[str, ...] = (), rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +187,7 @@ def walk(files: DataFrame, selected: str | None = None, include_nonproduction: b
         kept = kept.join(ignored(kept.select("path"), rules), "path", "left_anti")
     kind = classify(F.col("path"), include_nonproduction, ignored_names)
     kept = kept.withColumn("class", kind).withColumn("reason", reason(F.col("path"), F.col("class")))
-    return kept, files.where("pruned is not null").groupBy(F.col("pruned").alias("path")).agg(F.count("*").alias("files"))
+    return kept, files.where("pruned is not null").select(F.col("pruned").alias("path")).distinct()
 
 
 def ignore_rules(texts: DataFrame) -> DataFrame:
@@ -175,11 +232,45 @@ def bounded_text(rows: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
     return rows.withColumn("skipped", why).withColumn("text", F.when(F.col("skipped").isNull(), F.col("content").cast("string"))).drop("content")
 
 
-def read_texts(spark: SparkSession, files: DataFrame, root: str, limit: int = TEXT_LIMIT) -> DataFrame:
-    """files with text and skipped. The size is a filter of the scan, so larger files are never opened."""
-    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= limit)
-    content = small.select(F.col("path").alias("uri"), "content")
-    return bounded_text(files.join(content, "uri", "left"), limit)
+class _Read:
+    """mapInArrow function over (uri, length): contents of files within the limit, in batches of bounded size."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def __call__(self, batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out, held = [], 0
+            for uri, length in zip(batch.column("uri").to_pylist(), batch.column("length").to_pylist()):
+                content, error = None, None
+                if length is not None and length <= self.limit:
+                    try:
+                        filesystem, path = fs.FileSystem.from_uri(uri)
+                        with filesystem.open_input_file(path) as f:
+                            content = f.read(self.limit + 1)
+                    except OSError as e:
+                        error = f"could not be read: {type(e).__name__}"
+                out.append((uri, content, error))
+                held += len(content or b"")
+                if held >= 8 << 20:
+                    yield self._batch(out)
+                    out, held = [], 0
+            yield self._batch(out)
+
+    @staticmethod
+    def _batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())], ["uri", "content", "error"])
+
+
+def read_texts(files: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
+    """files(path, uri, length) with text and skipped. Larger files are never opened; what cannot be read or is no
+    UTF-8 text is a row with the reason."""
+    ship(files.sparkSession)
+    content = files.select("uri", "length").mapInArrow(_Read(limit), "uri string, content binary, error string")
+    out = bounded_text(files.join(content, "uri", "left"), limit)
+    return out.withColumn("skipped", F.coalesce("error", "skipped", F.when(F.col("length").isNull(), "not a regular file"))).drop("error")
 
 
 def coverage(files: DataFrame, secrets_enabled: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Both give each key its head (the newest accepted command). A command is idempotent if its operation key
 came before with the same content, a conflict if with other content, stale if its generation is older
-than the newest seen."""
+than the newest of those that came first under their keys: what is refused makes nothing stale."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def fold(log: DataFrame, key: str = "key", operation: str = "operation", content
     """log with a column `outcome`: recorded, idempotent, conflict or stale."""
     same = Window.partitionBy(key, operation).orderBy(sequence)
     before = Window.partitionBy(key).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("__first", F.first(content).over(same)).withColumn("__n", F.row_number().over(same)).withColumn("__newest", F.max(generation).over(before))
+    rows = log.withColumn("__first", F.first(content).over(same)).withColumn("__n", F.row_number().over(same)).withColumn("__newest", F.max(F.when(F.col("__n") == 1, F.col(generation))).over(before))
     outcome = F.when((F.col("__n") > 1) & F.col("__first").eqNullSafe(F.col(content)), "idempotent").when(F.col("__n") > 1, "conflict").when(F.col(generation) < F.col("__newest"), "stale").otherwise("recorded")
     return rows.withColumn("outcome", outcome).drop("__first", "__n", "__newest")
 
