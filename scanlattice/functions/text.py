@@ -110,6 +110,20 @@ def markdown_escape(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x, i: F.when(code(i), x).otherwise(prose(x))), "`")
 
 
+def file_class(path: Column) -> Column:
+    """Class of a path by its name and extension; see sources.repository."""
+    from scanlattice.sources import repository
+
+    return repository.classify(path, include_nonproduction=True)
+
+
+def is_test_path(path: Column) -> Column:
+    """Whether a path is of code that is not shipped; see sources.repository."""
+    from scanlattice.sources import repository
+
+    return repository.is_excluded(path)
+
+
 def fnv1a_hex(c: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, 64 bits, as 16 hex digits. Kept as two 32-bit halves, so no product overflows."""
     values = F.transform(octets(c), lambda x: F.conv(x, 16, 10).cast("long"))

@@ -64,7 +64,10 @@ class Budget:
         return next((why for hit, why in rules if hit), "")
 
     def step(self, e: dict) -> str:
+        """The outcome of an event. finish and abandon without a lease are for the oldest open one."""
         s, op, owner, lane = self.state, e["op"], e.get("owner") or None, e.get("lane") or None
+        if op in ("finish", "abandon") and not e.get("lease"):
+            e = e | {"lease": next(iter(s.leases), None)}
         if lane and s.lanes and lane not in s.lanes:
             return "unknown_lane"
         if op == "reserve":
@@ -142,7 +145,7 @@ def fold(events: DataFrame, policy: Policy | None = None) -> DataFrame:
     A budget's events are a sequence by their nature: its group has as many as it has calls."""
     policy = policy or Policy()
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         one = Budget(policy)
         return pd.DataFrame([one.row(key[0], e) for e in _events(rows)], columns=_COLUMNS)
 
@@ -196,3 +199,19 @@ def transferred(lanes: DataFrame) -> DataFrame:
     out = lanes.join(gained, ["budget", "lane"], "left")
     open_ = F.col("enabled") & ~F.col("complete")
     return out.select("budget", "lane", F.when(F.col("complete"), F.col("used")).when(open_, F.col("allocation") + F.coalesce("gained", F.lit(0))).otherwise(F.col("allocation")).alias("allocation"))
+
+
+def admitted(rows: DataFrame, key: str, order: str, amount: str, limit: int) -> DataFrame:
+    """(key, order, admitted): rows in order while their sum stays within the limit; a refused row does not count, so
+    a later one may still fit. Only these three columns go to a key's task."""
+    fields = rows.select(key, order, amount).schema
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        total, out = 0, []
+        for x in part[amount]:
+            out.append(total + x <= limit)
+            total += x if out[-1] else 0
+        return part[[key, order]].assign(admitted=out)
+
+    return rows.select(key, order, amount).groupBy(key).applyInPandas(run, f"`{key}` {fields[0].dataType.simpleString()}, `{order}` {fields[1].dataType.simpleString()}, admitted boolean")

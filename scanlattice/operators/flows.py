@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scanlattice.functions.tables import written
+
 DEPTH = 4
 
 
@@ -41,18 +43,20 @@ def propagate(sources: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataF
 
     sources(scope, name, at); edges(scope, left, right, at, conditional): assignments in order. A step
     takes a later assignment of a tracked name, unless the name was assigned again before; assignments
-    in branches end a chain but do not extend it."""
-    kills = edges.select(F.col("scope").alias("k_scope"), F.col("left").alias("k_name"), F.col("at").alias("k_at")).distinct()
-    level = sources.select("scope", F.col("name").alias("origin"), "name", "at", F.lit(0).alias("steps"))
+    in branches end a chain but do not extend it. When a name's value ends is one window over the
+    assignments; each level is written once, so a level is one join."""
+    both = sources.select("scope", F.col("name").alias("left"), "at").unionByName(edges.select("scope", "left", "at")).distinct()
+    until = F.lead("at").over(Window.partitionBy("scope", "left").orderBy("at"))
+    lives = written(both.select("scope", F.col("left").alias("name"), "at", until.alias("until")), "lives")
+    e = edges.where(~F.col("conditional")).select(F.col("scope").alias("e_scope"), "left", "right", F.col("at").alias("e_at"))
+    # The next assignment of the name reads it still, so its own place belongs to the life of the value before.
+    uses = written(lives.join(e, (F.col("scope") == F.col("e_scope")) & (F.col("name") == F.col("right")) & (F.col("e_at") > F.col("at")) & (F.col("until").isNull() | (F.col("e_at") <= F.col("until")))).select("scope", "name", "at", "left", "e_at").distinct(), "uses")
+    level = written(sources.select("scope", F.col("name").alias("origin"), "name", "at", F.lit(0).alias("steps")), "level")
     out = level
     for step in range(1, depth + 1):
-        e = edges.where(~F.col("conditional")).select(F.col("scope").alias("e_scope"), "left", "right", F.col("at").alias("e_at"))
-        ahead = level.join(e, (level.scope == e.e_scope) & (F.col("name") == F.col("right")) & (F.col("e_at") > F.col("at")))
-        ahead = ahead.join(kills, (F.col("scope") == F.col("k_scope")) & (F.col("name") == F.col("k_name")) & (F.col("k_at") > F.col("at")) & (F.col("k_at") < F.col("e_at")), "left_anti")
-        level = ahead.select("scope", "origin", F.col("left").alias("name"), F.col("e_at").alias("at"), F.lit(step).alias("steps")).distinct()
+        level = written(level.join(uses, ["scope", "name", "at"]).select("scope", "origin", F.col("left").alias("name"), F.col("e_at").alias("at"), F.lit(step).alias("steps")).distinct(), "level")
         out = out.unionByName(level)
-    best = Window.partitionBy("scope", "origin", "name", "at").orderBy("steps")
-    return out.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return out.groupBy("scope", "origin", "name", "at").agg(F.min("steps").alias("steps"))
 
 
 def widest(rows: DataFrame) -> DataFrame:

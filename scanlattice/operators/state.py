@@ -62,16 +62,21 @@ def read_journal(spark: SparkSession, path: str, through: int | None = None) ->
     return rows
 
 
-def breaks(rows: DataFrame) -> DataFrame:
-    """Rows that do not follow the one before: by number, by hash, or with a hash of other contents, and those
-    whose operation came before. The neighbour comes by an equi-join on the sequence, not by one sorted task."""
+def unlinked(rows: DataFrame) -> DataFrame:
+    """Sequences of rows that do not follow the one before, by number or by hash, or that share a number. The
+    neighbour comes by an equi-join on the sequence, not in one sorted task."""
     before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("expected")).groupBy("sequence").agg(F.max("expected").alias("expected"), F.count("*").alias("many"))
-    again = rows.groupBy("operation").agg(F.count("*").alias("uses")).where("uses > 1").select("operation")
+    joined = rows.join(before, "sequence", "left")
+    differs = F.when(F.col("sequence") == 1, F.col("previous_hash") != "").otherwise(F.coalesce(F.col("previous_hash") != F.col("expected"), F.lit(True)))
+    return joined.where(differs | (F.coalesce("many", F.lit(1)) > 1)).select("sequence")
+
+
+def breaks(rows: DataFrame) -> DataFrame:
+    """Sequences of unlinked rows, of those whose hash is of other contents, and of those whose operation came before."""
     own = digest("transaction/v1", F.col("sequence").cast("string"), F.col("previous_hash"), F.col("operation"), F.col("command"), F.col("result"))
-    joined = rows.join(before, "sequence", "left").withColumn("own", own)
-    first = F.col("sequence") == 1
-    wrong = F.when(first, F.col("previous_hash") != "").otherwise(F.coalesce(F.col("previous_hash") != F.col("expected"), F.lit(True))) | (F.coalesce("many", F.lit(1)) > 1) | (F.col("own") != F.col("hash"))
-    return joined.where(F.coalesce(wrong, F.lit(True))).select("sequence").union(rows.join(again, "operation", "left_semi").select("sequence")).distinct()
+    altered = rows.where(~F.col("hash").eqNullSafe(own)).select("sequence")
+    again = rows.groupBy("operation").agg(F.count("*").alias("uses")).where("uses > 1").select("operation")
+    return unlinked(rows).union(altered).union(rows.join(again, "operation", "left_semi").select("sequence")).distinct()
 
 
 def receipts(commands: DataFrame) -> DataFrame:
@@ -195,7 +200,7 @@ def fold(commands: DataFrame) -> DataFrame:
     generation that it expects; records, leases and releases need the running generation and its owner (the
     owner's token or the attempt's name). What is refused changes nothing, so it makes nothing later stale."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _step(Stream(), key[0], rows)
 
     return commands.groupBy("stream").applyInPandas(run, OUT)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanlattice.functions.shipping import ship
+from scanlattice.functions.tables import written
 
 # Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -84,8 +85,10 @@ class _Parse:
 
 
 def parse_html(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
+    """The nodes of every page. The relations join this table with itself, so it is written once and pages are
+    parsed once; Spark then sizes its joins by the nodes themselves."""
     ship(pages.sparkSession)
-    return pages.select(F.col(key).cast("long"), page).mapInArrow(_Parse(), SCHEMA)
+    return written(pages.select(F.col(key).cast("long"), page).mapInArrow(_Parse(), SCHEMA), "nodes")
 
 
 def kind(nodes: DataFrame, name: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanlattice.functions import text as T
 from scanlattice.operators import flows, queues, trees
-from scanlattice.sources.files import lines, table
+from scanlattice.sources.files import table
 from scanlattice.streaming import log
 
 _Q: dict = {}
@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _all() -> None:
-    from scanlattice.plans import reviews  # noqa: F401  (registers its queries; it imports `query` from here)
+    from scanlattice.plans import engine, reviews  # noqa: F401  (they register their queries; they import `query` from here)
 
 
 def queries() -> dict:
@@ -37,55 +37,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-# --- secrets and scalar functions ----------------------------------------------------------------
-
-# Keywords whose assigned values are looked at, and marks of placeholders.
-KEYWORDS = "access_token|auth_token|api_key|apikey|client_secret|password|passwd|private_key|secret"
-PLACEHOLDER = "example|placeholder|changeme|dummy|sample|your"
-_ASSIGNED = r"""({k})["']?[ ]*[:=][ ]*["']([A-Za-z0-9+/_.=-]{{16,256}})["']"""
-_SECRET_SQL = """
-WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
-h AS (SELECT doc_id, lang, line, regexp_extract(value, '{p}', 2) AS secret FROM l WHERE regexp_matches(value, '{p}')),
-k AS (SELECT * FROM h WHERE NOT regexp_matches(lower(secret), '{ph}') AND len(list_distinct(string_split(secret, ''))) >= 8),
-c AS (SELECT doc_id, line, secret, unnest(string_split(secret, '')) AS ch FROM (SELECT DISTINCT doc_id, line, secret FROM k)),
-e AS (SELECT doc_id, line, secret, sum(-(n / t) * log2(n / t)) AS h FROM (SELECT doc_id, line, secret, ch, count(*)::DOUBLE AS n, length(secret)::DOUBLE AS t FROM c GROUP BY ALL) GROUP BY ALL)
-"""
-
-
-def _secrets(spark: SparkSession, sf_dir: str, keywords: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pattern = _ASSIGNED.format(k=keywords)
-    rows = lines(docs.where(F.col("text").rlike(pattern)), "doc_id", "text").where(F.col("value").rlike(pattern))
-    rows = rows.select(F.col("key").alias("doc_id"), F.col("line").cast("long").alias("line"), F.regexp_extract("value", pattern, 2).alias("secret"))
-    letters = F.array_distinct(F.filter(F.split("secret", ""), lambda x: x != ""))
-    rows = rows.where(~F.lower("secret").rlike(PLACEHOLDER) & (F.size(letters) >= 8))
-    return rows.select("doc_id", "line", F.length("secret").cast("long").alias("n_chars"), T.entropy_millibits(F.col("secret")).alias("entropy_millibits"), F.sha2("secret", 256).alias("fingerprint"), F.lit("[REDACTED]").alias("redacted"))
-
-
-def _secret_sql(keywords: str) -> str:
-    p = _ASSIGNED.format(k=keywords).replace("'", "''")
-    return _SECRET_SQL.format(p=p, ph=PLACEHOLDER) + "SELECT k.doc_id, k.line, length(k.secret) AS n_chars, round(h * 1000)::BIGINT AS entropy_millibits, sha256(k.secret) AS fingerprint, '[REDACTED]' AS redacted FROM k JOIN e USING (doc_id, line, secret)"
-
-
-@query(_secret_sql(KEYWORDS))
-def secret_generic(spark, sf_dir):
-    return _secrets(spark, sf_dir, KEYWORDS)
-
-
-@query(_secret_sql(KEYWORDS + "|token"))
-def secret_generic_ext(spark, sf_dir):
-    return _secrets(spark, sf_dir, KEYWORDS + "|token")
+# --- scalar functions ----------------------------------------------------------------------------
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets per language with their entropy, over all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return docs.join(secret_generic_ext(spark, sf_dir), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.count("fingerprint").alias("n_secrets"), F.max("entropy_millibits").alias("most_millibits"))
+    """Credentials by language, over all documents, with their greatest entropy."""
+    from scanlattice.plans import engine
 
-
-@query(_secret_sql(KEYWORDS + "|token").replace("SELECT k.doc_id, k.line", "SELECT d.lang, count(*) AS n_documents, count(s.fingerprint) AS n_secrets, max(s.entropy_millibits) AS most_millibits FROM documents d LEFT JOIN (SELECT k.doc_id, k.line") + ") s USING (doc_id) GROUP BY d.lang")
-def secret_counts_by_lang(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    return engine.credentials_by_language(spark, sf_dir)
 
 
 @query("""SELECT p_partkey, CASE WHEN length(p_name) > 3 THEN substr(p_name, greatest(length(p_name) - 3, 0) + 1, greatest(0, length(p_name) - 1 - greatest(length(p_name) - 3, 0))) ELSE substr(p_name, 1, greatest(0, length(p_name) - 1)) END AS tail, substr(p_name, 3, 4) AS middle, '' AS nothing,
@@ -144,10 +103,13 @@ def direct_containment(spark, sf_dir):
     return rows.select("key", F.col("n").cast("long").alias("link"), F.col("o_n").cast("long").alias("nav"), "value")
 
 
-@query(_SPAN_SQL + "SELECT key, count(*) AS n FROM s a WHERE kind = 'link' AND NOT EXISTS (SELECT 1 FROM s b WHERE b.key = a.key AND b.kind IN ('comment', 'nav') AND a.stop - length(a.value) < b.stop AND a.stop > b.stop - length(b.value)) GROUP BY key")
+_OPENS = "<[a-z]+"
+
+
+@query(_SPAN_SQL.replace("('link', 'href=\"[^\"]*\"')", f"('open', '{_OPENS}')") + "SELECT key, count(*) AS n FROM s a WHERE kind = 'open' AND NOT EXISTS (SELECT 1 FROM s b WHERE b.key = a.key AND b.kind IN ('comment', 'nav') AND a.stop - length(a.value) < b.stop AND a.stop > b.stop - length(b.value)) GROUP BY key")
 def comment_and_nav_filter(spark, sf_dir):
     ranges = _span(spark, sf_dir, _NAV, "nav").unionByName(_span(spark, sf_dir, _COMMENTS, "comment"))
-    return flows.outside(_span(spark, sf_dir, _LINKS, "link"), ranges).groupBy("key").agg(F.count("*").alias("n"))
+    return flows.outside(_span(spark, sf_dir, _OPENS, "open"), ranges).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE EXISTS (SELECT 1 FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END AS low, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 + 1 END AS high FROM orders WHERE o_orderpriority = '1-URGENT') c WHERE c.k = l_orderkey AND (c.low IS NULL OR (l_linenumber <= c.high AND l_linenumber >= c.low)))""")
@@ -170,18 +132,6 @@ def propagation(spark, sf_dir):
     return flows.propagate(sources, edges).select("scope", "name", "at", "steps")
 
 
-@query("""SELECT u.conv_id, u.turn AS source, a.turn AS sink, CASE WHEN EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = u.conv_id AND p.turn > u.turn AND p.turn < a.turn AND length(p.text) > 400) THEN 'protected' WHEN a.turn = u.turn + 1 THEN 'direct' ELSE 'propagated' END AS state
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND u.role = 'user' AND a.role = 'assistant' AND a.turn > u.turn AND a.turn <= u.turn + 4""")
-def source_sink_paths(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    source = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("source"))
-    sink = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("sink"))
-    pairs = source.join(sink, "conv_id").where((F.col("sink") > F.col("source")) & (F.col("sink") <= F.col("source") + 4))
-    guard = turns.where(F.length("text") > 400).select(F.col("conv_id").alias("g_conv"), F.col("turn").alias("g_turn"))
-    safe = pairs.join(guard, (F.col("conv_id") == F.col("g_conv")) & (F.col("g_turn") > F.col("source")) & (F.col("g_turn") < F.col("sink")), "left_semi").select("conv_id", "source", "sink", F.lit(True).alias("safe"))
-    return pairs.join(safe, ["conv_id", "source", "sink"], "left").select("conv_id", "source", "sink", flows.state(F.coalesce("safe", F.lit(False)), F.col("sink") == F.col("source") + 1).alias("state"))
-
-
 @query("""SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_brand = (SELECT min(p_brand) FROM part))""")
 def ledger_subtraction(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -192,43 +142,12 @@ def ledger_subtraction(spark, sf_dir):
 # --- aggregates ----------------------------------------------------------------------------------
 
 
-@query("""SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error' AND value > 90) AS truncated, count(*) FILTER (event_type <> 'error' AND value <= 90 AND value < 1) AS empty FROM events GROUP BY event_type""")
-def journal_summary(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("value") > 90, "truncated").when(F.col("value") < 1, "empty")
-    return table(spark, sf_dir, "events").withColumn("k", kind).groupBy("event_type").agg(F.count("*").alias("n"), *[F.count_if(F.col("k") == k).alias(k) for k in ("failed", "truncated", "empty")])
-
-
 @query("""SELECT lang, source, count(*) AS n, count(DISTINCT sha256(text)) AS n_distinct, max(n_chars) AS longest FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
 def surface_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("h", F.sha2("text", 256))
     return docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"), F.countDistinct("h").alias("n_distinct"), F.max("n_chars").alias("longest"))
 
 
-@query("""WITH k AS (SELECT o_custkey, o_orderpriority || ':' || o_orderstatus AS key FROM orders)
-SELECT key, count(*) AS n, count(DISTINCT o_custkey) AS n_files, min(o_custkey) AS first_file, row_number() OVER (ORDER BY count(*) DESC, key) AS place FROM k GROUP BY key""")
-def contract_queue(spark, sf_dir):
-    keyed = table(spark, sf_dir, "orders").select("o_custkey", F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("n_files"), F.min("o_custkey").alias("first_file"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "key")).cast("long"))  # one row per priority and status
-
-
-@query("""SELECT d.lang, count(*) FILTER (f AND t) AS tp, count(*) FILTER (f AND NOT t) AS fp, count(*) FILTER (NOT f AND t) AS fn, count(*) FILTER (NOT f AND NOT t) AS tn,
-CASE WHEN count(*) FILTER (t) = 0 THEN 0 ELSE count(*) FILTER (f AND t) * 10000 // count(*) FILTER (t) END AS recall_bp, CASE WHEN count(*) FILTER (f) = 0 THEN 0 ELSE count(*) FILTER (f AND t) * 10000 // count(*) FILTER (f) END AS precision_bp
-FROM (SELECT doc_id, lang, regexp_matches(lower(text), 'trash|idiot|moron') AS f FROM documents) d JOIN (SELECT doc_id, toxic = 1 AS t FROM labels) l USING (doc_id) GROUP BY ROLLUP (d.lang)""")
-def confusion_by_lang(spark, sf_dir):
-    flags = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").rlike("trash|idiot|moron").alias("f"))
-    rows = flags.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("t")), "doc_id")
-    f, t = F.col("f"), F.col("t")
-    counts = rows.rollup("lang").agg(F.count_if(f & t).alias("tp"), F.count_if(f & ~t).alias("fp"), F.count_if(~f & t).alias("fn"), F.count_if(~f & ~t).alias("tn"))
-    return counts.withColumn("recall_bp", T.basis_points(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("precision_bp", T.basis_points(F.col("tp"), F.col("tp") + F.col("fp")))
-
-
-@query("""SELECT o_custkey, count(*) AS n, array_to_string(list_sort(list_distinct(list(o_orderkey)))[1:20], ',') AS keys, count(DISTINCT o_orderkey) > 20 AS truncated FROM orders GROUP BY o_custkey""")
-def reference_summary(spark, sf_dir):
-    keys = F.array_sort(F.collect_set("o_orderkey"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_join(F.slice(keys, 1, 20).cast("array<string>"), ",").alias("keys"), (F.size(keys) > 20).alias("truncated"))
-
-
 # --- ranking, limits, samples, sets --------------------------------------------------------------
 
 
@@ -254,46 +173,17 @@ def inventory_page(spark, sf_dir):
     return queues.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 50, 50)
 
 
-@query("""WITH c AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier), n AS (SELECT least(20, ceil(count(*) * 0.25)) AS cap FROM c),
-l AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM c WHERE r = 1)
-SELECT c.s_suppkey, c.s_nationkey, CASE WHEN l.place <= cap THEN 'selected' WHEN r > 1 THEN 'shared_repair_point' ELSE 'over_cap' END AS decision FROM c LEFT JOIN l USING (s_suppkey), n""")
-def follow_up_selection(spark, sf_dir):
-    return queues.follow_up(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", ["s_suppkey"]).select("s_suppkey", "s_nationkey", "decision")
-
-
-@query("""WITH b AS (SELECT doc_id, sha256(text) AS c FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS c FROM documents WHERE doc_id % 5 <> 0)
-SELECT CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.c = b.c THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM b FULL JOIN a ON a.doc_id = b.doc_id GROUP BY 1""")
-def snapshot_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("c"))
-    after = docs.where("doc_id % 5 <> 0").withColumn("c", F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("c")))
-    return queues.difference(docs.where("doc_id % 7 <> 0"), after, "doc_id", "c").groupBy("status").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def exact_copy_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("""SELECT o_custkey, o_orderkey, o_totalprice, (sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::DOUBLE <= 500000 AS admitted FROM orders""")
-def budget_admission(spark, sf_dir):
-    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (total <= 500000).alias("admitted"))
-
-
-@query("""WITH v AS (SELECT p_partkey, p_size, p_partkey % 3 AS ma, p_partkey % 10 AS mi FROM part), r AS (SELECT s_suppkey, s_suppkey % 3 AS ma, s_suppkey % 10 AS patched FROM supplier)
-SELECT p_partkey, count(*) AS n_advisories FROM v JOIN r ON v.p_size = r.s_suppkey % 50 AND (v.ma, v.mi) < (r.ma, r.patched) GROUP BY p_partkey""")
-def advisory_ranges(spark, sf_dir):
-    version = lambda a, b: T.semver(F.concat_ws(".", a, b, F.lit("0")))
-    packages = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("name"), version(F.col("p_partkey") % 3, F.col("p_partkey") % 10).alias("version"))
-    advisories = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("name"), version(F.col("s_suppkey") % 3, F.col("s_suppkey") % 10).alias("patched"))
-    return packages.join(advisories, "name").where("version < patched").groupBy("p_partkey").agg(F.count("*").alias("n_advisories"))
-
-
 # --- state ---------------------------------------------------------------------------------------
 
 _LOG_SQL = """WITH l AS (SELECT event_id AS sequence, user_id AS key, (event_id // 3) AS operation, event_type AS content, (value * 10)::BIGINT AS generation FROM events),
-f AS (SELECT *, first_value(content) OVER (PARTITION BY key, operation ORDER BY sequence) AS c1, row_number() OVER (PARTITION BY key, operation ORDER BY sequence) AS n, max(generation) OVER (PARTITION BY key ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM l),
-o AS (SELECT *, CASE WHEN n > 1 AND c1 = content THEN 'idempotent' WHEN n > 1 THEN 'conflict' WHEN generation < g THEN 'stale' ELSE 'recorded' END AS outcome FROM f)
+f AS (SELECT *, first_value(content) OVER (PARTITION BY key, operation ORDER BY sequence) AS c1, row_number() OVER (PARTITION BY key, operation ORDER BY sequence) AS n, generation AS own FROM l),
+h AS (SELECT *, max(CASE WHEN n = 1 THEN generation END) OVER (PARTITION BY key ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM f),
+o AS (SELECT *, CASE WHEN n > 1 AND c1 = content THEN 'idempotent' WHEN n > 1 THEN 'conflict' WHEN generation < g THEN 'stale' ELSE 'recorded' END AS outcome FROM h)
 """
 
 

@@ -9,36 +9,7 @@ from scanlattice.operators import ledgers, selectors, trees
 from scanlattice.plans.catalog import query
 from scanlattice.sources.files import table
 
-# --- suppression, conditions, generations ---------------------------------------------------------
-
-_MARKS_SQL = """WITH f AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS line, 'r' || (l_suppkey % 4) AS rule FROM lineitem),
-m AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS line, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'r' || (l_suppkey % 4) END AS rule, l_linestatus = 'O' AND l_linenumber = 1 AS whole FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber % 2 = 0 OR l_linenumber = 1 AND l_partkey % 5 = 0)
-"""
-
-
-def _marks(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    line = F.col("l_linenumber").cast("long").alias("line")
-    name = F.concat(F.lit("r"), F.col("l_suppkey") % 4)
-    findings = rows.select(F.col("l_orderkey").alias("key"), line, name.alias("rule"))
-    marks = rows.where("l_returnflag <> 'N' and l_linenumber % 2 = 0 or l_linenumber = 1 and l_partkey % 5 = 0")
-    rule = F.when(F.col("l_returnflag") != "R", name).alias("rule")
-    return findings, marks.select(F.col("l_orderkey").alias("key"), line, rule, F.expr("l_linestatus = 'O' and l_linenumber = 1").alias("whole"))
-
-
-_COVERS = "f.key = m.key AND (m.whole OR f.line = m.line OR f.line = m.line + 1) AND (m.rule IS NULL OR m.rule = f.rule)"
-
-
-@query(f"{_MARKS_SQL} SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE {_COVERS})")
-def suppression_marks(spark, sf_dir):
-    return ledgers.unsuppressed(*_marks(spark, sf_dir))
-
-
-@query(f"{_MARKS_SQL} SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.line % 3 = 0 AND {_COVERS})")
-def unused_suppressions(spark, sf_dir):
-    findings, marks = _marks(spark, sf_dir)
-    return ledgers.unused_marks(findings.where("line % 3 = 0"), marks)
-
+# --- conditions, generations ----------------------------------------------------------------------
 
 @query("""WITH c AS (SELECT o_orderkey, (CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AND o_orderkey % 2 = 0) OR NOT (CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'F' END) AS c FROM orders)
 SELECT CASE WHEN c THEN 'reachable' WHEN NOT c THEN 'unreachable' ELSE 'conditional' END AS class, count(*) AS n FROM c GROUP BY 1""")
@@ -69,15 +40,6 @@ def subject_states(spark, sf_dir):
     return ledgers.subject_states(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject")), decisions)
 
 
-@query("""WITH a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'dismissed' ELSE 'confirmed' END AS v FROM labels WHERE doc_id % 4 <> 0), b AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'confirmed' ELSE 'dismissed' END AS v FROM labels WHERE doc_id % 6 <> 0)
-SELECT doc_id, CASE WHEN a.v IS NULL OR b.v IS NULL OR a.v = b.v THEN coalesce(a.v, b.v) ELSE 'needs_review' END AS verdict FROM a FULL JOIN b USING (doc_id)""")
-def reconciled_verdicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    a = rows.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("quality") == 1, "dismissed").otherwise("confirmed").alias("a"))
-    b = rows.where("doc_id % 6 <> 0").select("doc_id", F.when(F.col("toxic") == 1, "confirmed").otherwise("dismissed").alias("b"))
-    return a.join(b, "doc_id", "full").select("doc_id", ledgers.reconciled(F.col("a"), F.col("b")).alias("verdict"))
-
-
 @query("""SELECT o_custkey, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 3)::BIGINT AS lease FROM orders WHERE o_orderstatus <> 'F'""")
 def work_leases(spark, sf_dir):
     open_work = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey", "o_orderdate")
@@ -105,50 +67,9 @@ def hash_chain_breaks(spark, sf_dir):
     return ledgers.chain_breaks(rows.withColumn("previous", stored), "user_id", "event_id", "previous", "own").select("user_id", "event_id")
 
 
-@query("""WITH b AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 9 <> 0), a AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)
-SELECT o_custkey, count(*) FILTER (a.o_orderkey IS NULL) AS removed, count(*) FILTER (b.o_orderkey IS NULL) AS added FROM b FULL JOIN a USING (o_custkey, o_orderkey) WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL GROUP BY o_custkey""")
-def changed_bundles(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return ledgers.changed_members(rows.where("o_orderkey % 9 <> 0"), rows.where("o_orderkey % 10 <> 0"), "o_custkey", "o_orderkey")
-
-
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM orders d WHERE d.o_custkey = orders.o_custkey AND d.o_orderstatus IN ('P', 'F'))""")
-def reopened_entries(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return rows.where("o_orderstatus = 'O'").join(rows.where("o_orderstatus in ('P', 'F')").select("o_custkey"), "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
-
-
-@query("""SELECT o_orderkey, count(l_orderkey) AS planned, count(*) FILTER (l_returnflag = 'R') AS recorded, count(l_orderkey) = count(*) FILTER (l_returnflag = 'R') AS complete FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-def completion_view(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("planned"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("recorded"))
-    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").distinct().join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", n("planned").alias("planned"), n("recorded").alias("recorded"), (n("planned") == n("recorded")).alias("complete"))
-
-
 # --- rollups ------------------------------------------------------------------------------------------
 
 
-@query("""WITH g AS (SELECT l_suppkey, l_returnflag, count(*) AS n, min(l_orderkey * 100 + l_linenumber) AS first FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, sum(n)::BIGINT AS reviews, count(*) AS implementations, min(first) AS representative FROM g GROUP BY l_returnflag""")
-def implementation_rollup(spark, sf_dir):
-    groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("first"))
-    return groups.groupBy("l_returnflag").agg(F.sum("n").alias("reviews"), F.count("*").alias("implementations"), F.min("first").alias("representative"))
-
-
-@query("""WITH u AS (SELECT event_type, user_id, count(*) FILTER (value < 30) AS s, count(*) FILTER (value > 70) AS k FROM events GROUP BY ALL)
-SELECT event_type, sum(s)::BIGINT AS sources, sum(k)::BIGINT AS sinks, sum(s * k)::BIGINT AS paths FROM u GROUP BY event_type""")
-def relationship_funnel(spark, sf_dir):
-    per = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.when(F.col("value") < 30, 1)).alias("s"), F.count(F.when(F.col("value") > 70, 1)).alias("k"))
-    return per.groupBy("event_type").agg(F.sum("s").alias("sources"), F.sum("k").alias("sinks"), F.sum(F.col("s") * F.col("k")).alias("paths"))
-
-
-@query("""SELECT source, count(*) AS discovered, count(*) FILTER (text IS NOT NULL AND length(text) <= 20000) AS scanned, count(*) FILTER (length(text) > 20000) AS too_large, count(*) FILTER (text IS NULL) AS unreadable, count(*) FILTER (text NOT LIKE '%' || chr(10)) AS torn FROM documents GROUP BY source""")
-def coverage_totals(spark, sf_dir):
-    n = lambda c: F.count(F.when(c, 1))
-    long = F.length("text") > 20000
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("discovered"), n(~long).alias("scanned"), n(long).alias("too_large"), n(F.col("text").isNull()).alias("unreadable"), n(~F.col("text").endswith("\n")).alias("torn"))
-
-
 @query("""SELECT coalesce('p' || (CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END), 'o' || o_orderkey) AS point, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1""")
 def claim_groups(spark, sf_dir):
     point = F.coalesce(F.concat(F.lit("p"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))), F.concat(F.lit("o"), F.col("o_orderkey")))
@@ -170,10 +91,10 @@ def enclosing_turn(spark, sf_dir):
 # --- scalar functions ----------------------------------------------------------------------------------
 
 
-@query("""WITH h AS (SELECT p_partkey, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(p_name || '|' || p_brand)), '..'), lambda x: ('0x' || x)::UHUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS v FROM part)
+@query("""WITH h AS (SELECT p_partkey, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(p_name || chr(0) || p_brand)), '..'), lambda x: ('0x' || x)::UHUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS v FROM part)
 SELECT p_partkey, 'ev-' || lower(printf('%08x', (v // 4294967296::UHUGEINT)::BIGINT)) || lower(printf('%08x', (v % 4294967296::UHUGEINT)::BIGINT)) AS id FROM h""")
 def fnv_ids(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("ev-"), T.fnv1a_hex(F.concat_ws("|", "p_name", "p_brand"))).alias("id"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.fnv_id("ev-", F.col("p_name"), F.col("p_brand")).alias("id"))
 
 
 @query("""SELECT doc_id, place, (length(head) - length(replace(head, chr(10), '')) + 1)::BIGINT AS line, (length(string_split(head, chr(10))[-1]) + 1)::BIGINT AS col FROM (SELECT doc_id, (doc_id * 37 % greatest(length(text), 1))::BIGINT AS place, substr(text, 1, (doc_id * 37 % greatest(length(text), 1))::BIGINT) AS head FROM documents WHERE text IS NOT NULL)""")
@@ -210,14 +131,6 @@ def url_shapes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_scheme(F.col("url")).alias("scheme"), T.url_host(F.col("url")).alias("host"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')) AS n, regexp_replace(text, 'AKIA[A-Z0-9]{16}', '[REDACTED]', 'g') AS redacted FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}')""")
-def provider_redaction(spark, sf_dir):
-    # Fixed value: prefix, alphabet and length of one provider's access keys.
-    key = "AKIA[A-Z0-9]{16}"
-    found = F.size(F.regexp_extract_all("text", F.lit(f"({key})"), F.lit(1))).cast("long")
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(key)).select("doc_id", found.alias("n"), F.regexp_replace("text", key, "[REDACTED]").alias("redacted"))
-
-
 # --- outputs and selectors --------------------------------------------------------------------------------
 
 

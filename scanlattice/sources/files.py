@@ -4,25 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanlattice.functions.text import file_class, is_test_path
-
-TEXT_LIMIT = 2 * 1024 * 1024
+from . import repository as repositories
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def repository(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
-    """path, class, reason, bytes and text of every file below root; unreadable ones keep a reason."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
-    rows = files.select(relative.alias("path"), "length", "content")
-    if prefix:
-        rows = rows.where(F.col("path").startswith(prefix))
-    text = F.expr("try_validate_utf8(decode(content, 'UTF-8'))")
-    reason = F.when(F.col("length") > TEXT_LIMIT, "too_large").when(F.expr("position(X'00' in content) > 0"), "binary")
-    return rows.select("path", F.when(is_test_path(F.col("path")), "secret_only").otherwise(file_class(F.col("path"))).alias("class"), reason.alias("reason"), "length", F.when(reason.isNull(), text).alias("text"))
+def repository(spark: SparkSession, root: str, selected: str | None = None) -> DataFrame:
+    """path, class, reason, length, skipped and text of every file of a repository that is not pruned or ignored; one that
+    cannot be read as text says why. selected: one file or directory."""
+    listed = repositories.listing(spark, root)
+    marks = repositories.read_texts(listed.where(F.col("path").rlike(r"(^|/)\.(git)?ignore$")))
+    files, _ = repositories.walk(listed, selected, rules=repositories.ignore_rules(marks.select("path", "text")))
+    return repositories.read_texts(files).select("path", "class", "reason", "length", "skipped", "text")
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
