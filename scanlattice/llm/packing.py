@@ -11,8 +11,10 @@ counts, so no group of equal lengths meets in one task.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,13 @@ def _byte_letters() -> dict[int, int]:
     return {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in own)}
 
 
+#: A stop between a letter up to U+017F (that is no U+0130) and white space: a piece of text of its own, so
+#: words are kept without it.
+_STOPS = re.compile(rb"[.,](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)|(?<=\xc4[\x80-\xaf\xb1-\xbf].)|(?<=\xc5[\x80-\xbf].))(?=\s|\Z)")
+#: Words of small letters of Latin-1, as UTF-8.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
 class WordIds(dict):
     """Token ids (little-endian unsigned 32-bit) of white-space-separated words, kept for two
     generations of at most `keep` words. The tokenizer drops white space and no token spans it, so a
@@ -48,7 +57,8 @@ class WordIds(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model, self.keep, self.old = tokenizer.encode, tokenizer.model.tokenize, keep, {}
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = "".join(chr(letters.get(b, b)) for b in range(256))
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -59,19 +69,28 @@ class WordIds(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in b".,":
-            last = word[:-1].decode("utf-8", "replace")[-1]
+        if word.isalpha():  # ASCII letters: one piece of text, composed, lower-cased one by one
+            low = word.lower()
+            if low != word:
+                return self[low]
+            ids = [t.id for t in self.model(word.decode())]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if _SMALL.fullmatch(word):  # composed and small already
+            ids = [t.id for t in self.model(charmap_decode(word, "strict", self.letters)[0])]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        plain = word.decode("utf-8", "replace")
+        if len(plain) > 1 and plain[-1] in ".,":
+            last = plain[-2]
             # A Latin letter and a stop are never in one token. Others may decompose into a letter and a mark.
             if last < "\u0250" and last != "\u0130" and last.isalpha():
                 return self[word[:-1]] + self[word[-1:]]
-        plain = word.decode("utf-8", "replace")
         if plain.isalpha() and max(plain) < "\u0250" and "\u0130" not in plain:
-            # Latin letters alone are one piece of text, composed already and lower-cased one by one:
-            # what normalising and splitting leave is the word itself, so the model can be asked at once.
+            # The same for Latin letters: what normalising and splitting leave is the word itself, so the
+            # model can be asked at once.
             low = plain.lower()
-            if len(low) != len(plain) or low != plain and low.encode() != word:
+            if len(low) != len(plain) or low != plain:
                 return self[low.encode()]
-            ids = [t.id for t in self.model(plain if word.isascii() else word.decode("latin-1").translate(self.letters))]
+            ids = [t.id for t in self.model(charmap_decode(word, "strict", self.letters)[0])]
         else:
             ids = self.encode(plain, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -80,7 +99,7 @@ class WordIds(dict):
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, (value or b"").split()))
+        return b"".join(map(self.__getitem__, _STOPS.sub(rb" \g<0>", value or b"").split()))
 
 
 _word_ids: dict[str, WordIds] = {}

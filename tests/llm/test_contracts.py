@@ -348,3 +348,13 @@ def test_work_is_cleared_and_clusters_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Elsewhere)
+
+
+def test_texts_with_stops_after_any_letter():
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(packing.vocabulary_path()), packing.WordIds(packing.vocabulary_path(), keep=500)
+    letters = [chr(i) for i in range(0x800) if unicodedata.category(chr(i))[0] == "L"]
+    for lo in range(0, len(letters), 100):
+        text = " ".join(f"a{x}. {x}, {x}., A{x}... {x}. b ×. {x}.b …, 'S. <{x}>." for x in letters[lo : lo + 100]) + " end."
+        assert np.frombuffer(own.text(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
