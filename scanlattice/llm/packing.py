@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fresh, ship, sliced, utf8_values, written
+from .common import BLOCK_BYTES, fresh, ship, sliced, utf8_values, written
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -96,10 +96,21 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, value: bytes | None) -> bytes:
-        if len(self) > self.keep:
-            self.old = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, _STOPS.sub(rb" \g<0>", value or b"").split()))
+        """The ids of a text, block by block: a very long one is never a list of all its words at once."""
+        value, at, parts = value or b"", 0, []
+        while at < len(value):
+            stop = at + BLOCK_BYTES
+            if stop < len(value):
+                cut = max(value.rfind(b" ", at, stop), value.rfind(b"\n", at, stop))
+                if cut <= at:
+                    cut = min((x for x in (value.find(b" ", stop), value.find(b"\n", stop)) if x >= 0), default=len(value))
+                stop = cut
+            if len(self) > self.keep:
+                self.old = dict(self)
+                self.clear()
+            parts.append(b"".join(map(self.__getitem__, _STOPS.sub(rb" \g<0>", value[at:stop]).split())))
+            at = stop
+        return b"".join(parts)
 
 
 _word_ids: dict[str, WordIds] = {}
