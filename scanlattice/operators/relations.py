@@ -62,9 +62,11 @@ def direct(found: DataFrame) -> DataFrame:
 
 def propagated(found: DataFrame, reached: DataFrame) -> DataFrame:
     """Pairs that are not direct, whose input capture is a name that the source reaches before the sink.
-    reached(path, scope, source, name, at, steps): from bounded propagation. The fewest steps count."""
-    r = reached.select("path", "scope", "source", F.col("name"), F.col("at"), F.col("steps").alias("hops"))
-    near = found.join(r, ["path", "scope", "source"]).where((F.col("at") <= F.col("k_start")) & F.exists(_inputs(), lambda c: c["text"] == F.col("name")))
+    reached(path, scope, source, name, at, steps) and, where there is such a column, until (the name is assigned again
+    there): from bounded propagation. The fewest steps count."""
+    until = F.col("until") if "until" in reached.columns else F.lit(None).cast("int")
+    r = reached.select("path", "scope", "source", F.col("name"), F.col("at"), F.col("steps").alias("hops"), until.alias("until"))
+    near = found.join(r, ["path", "scope", "source"]).where((F.col("at") <= F.col("k_start")) & (F.col("until").isNull() | (F.col("k_start") < F.col("until"))) & F.exists(_inputs(), lambda c: c["text"] == F.col("name")))
     return near.groupBy("relation", "source", "sink").agg(F.min("hops").alias("hops"))
 
 

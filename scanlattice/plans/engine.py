@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanlattice.functions import text as T
 from scanlattice.functions.tables import written
-from scanlattice.operators import advisories, budgets, code, credentials, evaluation, ledgers, lookups, queues, relations, reports, rules, state
+from scanlattice.operators import advisories, budgets, code, credentials, evaluation, facts, ledgers, lookups, queues, relations, reports, rules, scanning, state
 from scanlattice.plans.catalog import query
 from scanlattice.sources import repository
 from scanlattice.sources.files import table
@@ -646,3 +646,71 @@ def reconciled_verdicts(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
     first, second = F.when(F.col("quality") == 1, "not_issue"), F.when(F.col("toxic") == 1, "issue").otherwise("not_issue")
     return rows.select("doc_id", ledgers.reconciled(first, second).alias("verdict"))
+
+
+# --- facts and whole scans -------------------------------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT page_id, html, regexp_extract_all(html, '<script[^>]*>') AS m, string_split_regex(html, '<script[^>]*>') AS g FROM pages),
+e AS (SELECT page_id, html, g, unnest(m) AS mark, generate_subscripts(m, 1) AS n FROM p), s AS (SELECT *, sum(length(g[n]) + length(mark)) OVER (PARTITION BY page_id ORDER BY n) AS start FROM e)
+SELECT page_id AS key, (n - 1)::INT AS n, start::BIGINT AS start, (length(substr(html, 1, start::BIGINT)) - length(replace(substr(html, 1, start::BIGINT), chr(10), '')) + 1)::INT AS line, sha256(string_split_regex(g[n + 1], '</script\s*>')[1]) AS body FROM s""")
+def script_islands(spark, sf_dir):
+    found = facts.islands(table(spark, sf_dir, "pages"), "<script[^>]*>", r"</script\s*>")
+    return found.select("key", "n", "start", "line", F.sha2("body", 256).alias("body"))
+
+
+@query(r"""WITH c AS (SELECT page_id, len(regexp_extract_all(html, '(?i)(?:href|src|action)\s*=\s*["'']?\s*javascript:')) AS a, len(regexp_extract_all(html, '(?i)<(?:script|img|iframe|link)[^>]*\s(?:src|href)\s*=\s*["'']?http://')) AS b, len(regexp_extract_all(html, '(?i)<a\s')) AS c FROM pages)
+SELECT page_id AS key, 'script_url' AS "check", a::INT AS n FROM c WHERE a > 0 UNION ALL SELECT page_id, 'plain_resource', b::INT FROM c WHERE b > 0 UNION ALL SELECT page_id, 'anchors', c::INT FROM c WHERE c > 0""")
+def page_source_checks(spark, sf_dir):
+    checks = {k: facts.PAGE_CHECKS[k] for k in ("script_url", "plain_resource")} | {"anchors": r"(?i)<a\s"}
+    return facts.page_checks(table(spark, sf_dir, "pages"), checks=checks)
+
+
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN split_part(url, '?', 1) WHEN 2 THEN regexp_extract(url, '^[a-z]+://[^/]*') ELSE regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) END AS p, page_id % 8 < 4 AS whole FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(p, '^(?i:https?)://[^/?#\\@\s]+[/?#]') OR whole AND regexp_matches(p, '^(?i:https?)://[^/?#\\@\s]+$') THEN 'fixed_authority' WHEN regexp_matches(p, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'fixed_scheme' WHEN regexp_matches(p, '^/[^/\\]') OR whole AND p = '/' THEN 'fixed_path' ELSE 'open' END AS certainty FROM u""")
+def url_certainty(spark, sf_dir):
+    k, url = F.col("page_id") % 4, F.col("url")
+    prefix = F.when(k == 0, url).when(k == 1, F.substring_index(url, "?", 1)).when(k == 2, F.regexp_extract(url, "^[a-z]+://[^/]*", 0)).otherwise(F.regexp_extract(url, "^[a-z]+://[^/]*(.*)$", 1))
+    return table(spark, sf_dir, "pages").select("page_id", facts.url_certainty(prefix, F.col("page_id") % 8 < 4).alias("certainty"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey % 3 = 0 AS a, o_orderstatus AS s, 2 + o_orderkey % 6 AS line FROM orders),
+b AS (SELECT *, CASE WHEN line = 2 THEN CASE WHEN a THEN 'included' ELSE 'excluded' END WHEN line = 4 THEN CASE WHEN a THEN 'excluded' WHEN s = 'O' THEN 'included' WHEN s = 'F' THEN 'excluded' ELSE 'conditional' END WHEN line = 6 THEN CASE WHEN a OR s = 'O' THEN 'excluded' WHEN s = 'F' THEN 'included' ELSE 'conditional' END ELSE 'included' END AS state FROM r)
+SELECT o_orderkey::VARCHAR AS id, state AS availability FROM b""")
+def line_availability(spark, sf_dir):
+    """A source for each order: `#if A / x / #elif S / y / #else / z / #endif`; S is unknown for some."""
+    text = F.lit("#if A\nx\n#elif defined(S)\ny\n#else\nz\n#endif\nend")
+    a = F.map_from_arrays(F.array(F.lit("A")), F.array(F.col("o_custkey") % 3 == 0))
+    s = F.when(F.col("o_orderstatus").isin("O", "F"), F.map_from_arrays(F.array(F.lit("S")), F.array(F.col("o_orderstatus") == "O"))).otherwise(F.create_map().cast("map<string,boolean>"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 6 + 2).alias("line"), text.alias("text"), F.map_concat(a, s).alias("symbols"))
+    return facts.availability(rows.select("id", "path", "line"), facts.conditional(rows.select("path", "text", "symbols"))).select("id", "availability")
+
+
+@query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS path, count(*) AS known, sum(a + b)::BIGINT AS total FROM l GROUP BY l_orderkey")
+def literal_arguments(spark, sf_dir):
+    rows = facts.literals(_calls(spark, sf_dir)).where("callee = 'price' and state = 'known'")
+    return rows.groupBy("path").agg(F.count_if(F.col("argument") == 0).alias("known"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+_SCAN_RULES = [
+    {"id": "request", "kind": "source", "capability": "request", "match": {"any": [{"pattern": "request.get($N)"}]}},
+    {"id": "query", "kind": "sink", "capability": "query", "cwe": ["CWE-89"], "match": {"any": [{"pattern": "db.execute($Q)", "captures": {"query": "Q"}}]}},
+    {"id": "quote", "kind": "protection", "capability": "quoting", "symbols": [{"canonical": "dblib.quote", "captures": {"value": 0}}]},
+]
+_SCAN_RELATION = {"id": "sql", "version": 1, "source": {"capability": "request"}, "sink": {"capability": "query", "input_roles": ["query"]}, "protection": {"capability": "quoting", "application": "value_transform", "relation_role": "value"}, "cwe_candidates": ["CWE-89"], "strategy": "bounded_local_value"}
+
+
+@query("""SELECT o_orderkey::VARCHAR AS path, CASE o_orderkey % 6 WHEN 0 THEN 'direct' WHEN 1 THEN 'protected' WHEN 2 THEN 'propagated' WHEN 3 THEN 'propagated' END AS state FROM orders WHERE o_orderkey % 6 < 4""")
+def source_scans(spark, sf_dir):
+    """A function for each order, of six kinds: direct, quoted, through one and through three names, overwritten, and beyond
+    the depth of propagation."""
+    bodies = [
+        "db.execute('a' + request.get(1))", "db.execute(q(request.get(1)))", "x = request.get(1)\n    db.execute(x)", "x = request.get(1)\n    y = x\n    z = y + '!'\n    db.execute(z)", "x = request.get(1)\n    x = 'fixed'\n    db.execute(x)",
+        "x = request.get(1)\n    a = x\n    b = a\n    c = b\n    d = c\n    e = d\n    db.execute(e)",
+    ]
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("o_orderkey") % 6).cast("int") + 1)
+    sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.concat(F.lit("from dblib import quote as q\n\ndef f(db):\n    "), body, F.lit("\n")).alias("text"))
+    tree = written(code.nodes(sources), "nodes")
+    evidence = written(scanning.scan(sources, _SCAN_RULES, tree), "evidence")
+    paths = relations.security_paths(evidence, relations.catalog(spark, [_SCAN_RELATION], scanning.roles(_SCAN_RULES)), scanning.reached(evidence, scanning.assignments(tree)))
+    return paths.select("path", "state")
