@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from scanlattice.functions.shipping import ship as ship
+from scanlattice.functions.tables import clear as clear, shared_dir as shared_dir, work_path as work_path, written as written
 
 #: Bytes of text that one vectorised block holds; bounds a worker's memory, not what is read.
 BLOCK_BYTES = 1 << 18
 #: Rows of a batch that an operator takes at a time, whatever the session's batch size.
 SLICE_ROWS = 2000
-_OWN: dict[str, str] = {}
-_CLEARED: set[str] = set()
 
 
 def sliced(batches) -> Iterator[pa.RecordBatch]:
@@ -29,58 +24,11 @@ def sliced(batches) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where the setting is absent, a folder of this process is made for a local master (tests); on a
-    cluster that is an error, as its machines would not see each other's folders."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="scanlattice-")
-        atexit.register(shutil.rmtree, _OWN["dir"], True)
-    return "file://" + _OWN["dir"]
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table of this application, below the shared folder."""
-    path = f"{shared_dir(spark)}/work/{spark.sparkContext.applicationId}"
-    if path not in _CLEARED:
-        _CLEARED.add(path)
-        atexit.register(_remove, spark, path)
-    return f"{path}/{name}-{uuid.uuid4().hex}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Removes this application's intermediate tables. Results that were not yet read or written need
-    them, so it is called after those; what is left goes when the driver's Python ends."""
-    _remove(spark, f"{shared_dir(spark)}/work/{spark.sparkContext.applicationId}")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # stopped: the folder stays for whoever clears the shared one
-        return
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that none of columns has: longer than all of them."""
     return name + "_" * max((len(c) for c in columns), default=0)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
