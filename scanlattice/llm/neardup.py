@@ -134,7 +134,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # Only centres beyond a chunk are dealt out; there is one for each CHUNK pairs at most. The table is written
     # first, so that its join with the pairs has plain exchanges, which a very common centre can be split over.
     many = written(pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("salts")).where("salts > 1"), "many")
-    dealt = pairs.join(many, "centre", "left").select("centre", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "doc")
+    dealt = written(pairs.join(many, "centre", "left").select("centre", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "doc"), "dealt")  # read twice below
     members = dealt.join(texts, "doc").select("centre", "salt", "doc", "text")
     heads = dealt.select("centre", "salt").distinct().join(texts.withColumnRenamed("doc", "centre"), "centre").select("centre", "salt", F.lit(None).cast("long").alias("doc"), "text")
     ordered = members.unionByName(heads).repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("doc").asc_nulls_first())
