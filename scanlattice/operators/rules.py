@@ -19,7 +19,7 @@ from . import code, selectors
 KEY = ["doc", "pre"]
 ATOMIC = ("kind", "regex", "pattern", "nthChild", "range")
 RELATIONAL = ("inside", "has", "precedes", "follows")
-COMPOSITE = ("all", "any", "not", "matches")
+COMPOSITE = ("all", "any", "not", "matches", "where")
 
 
 def load(text: str) -> list[dict]:
@@ -141,6 +141,8 @@ class Engine:
             out = selectors.all_of(out, selectors.any_of(*[self._rule(x, u).select(*KEY) for x in spec["any"]]))
         if "not" in spec:
             out = selectors.none_of(out, self._rule(spec["not"], u))
+        if "where" in spec:  # a predicate of one's own: a function from the node table to a condition
+            out = out.where(spec["where"](out))
         if "matches" in spec:
             out = selectors.all_of(out, self._rule(u.body(spec["matches"]), u))
         return out
@@ -333,6 +335,19 @@ def rewritten(found: DataFrame, variable: str, parts: DataFrame, joiner: str | N
     return rows.select("doc", "pre", F.when(F.col("edits").isNull(), F.col("whole")).otherwise(made).alias("text"))
 
 
+def outline(engine: Engine, extractors: list[dict]) -> DataFrame:
+    """(doc, pre, last, symbol, name, line, end_line) of nodes that extractors {symbol, rule, name} find: name is the kind of
+    the child that names the node. A node that several find is the first one's."""
+    parts = []
+    for rank, x in enumerate(extractors):
+        own = engine.nodes(x["rule"]).select("doc", "pre", "last", "line", "end_line")
+        names = engine.tree.where(F.col("kind") == x.get("name", "identifier")).groupBy("doc", F.col("parent").alias("pre")).agg(F.min_by("text", "sib").alias("name"))
+        parts.append(own.join(names, KEY, "left").select("doc", "pre", "last", F.lit(rank).alias("rank"), F.lit(x["symbol"]).alias("symbol"), "name", "line", "end_line"))
+    rows = reduce(DataFrame.unionByName, parts)
+    best = rows.groupBy(*KEY).agg(F.min("rank").alias("rank"))
+    return rows.join(best, [*KEY, "rank"], "left_semi").drop("rank")
+
+
 def labels(found: DataFrame, named: dict[str, dict]) -> DataFrame:
     """Matches with an array of labelled spans: those named (style, message), else the match as primary."""
     if not named:

@@ -714,3 +714,51 @@ def source_scans(spark, sf_dir):
     evidence = written(scanning.scan(sources, _SCAN_RULES, tree), "evidence")
     paths = relations.security_paths(evidence, relations.catalog(spark, [_SCAN_RELATION], scanning.roles(_SCAN_RULES)), scanning.reached(evidence, scanning.assignments(tree)))
     return paths.select("path", "state")
+
+
+_SIBLING_SQL = _CODE_SQL.rstrip()[:-1] + """), s AS (SELECT *, lead(f) OVER w AS nf, lag(f) OVER w AS pf, max(CASE WHEN f = 'R' THEN n END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_if, count(*) OVER (PARTITION BY l_orderkey) AS total FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
+"""
+
+
+@query(_SIBLING_SQL + """SELECT l_orderkey::VARCHAR AS doc, count(*) FILTER (f <> 'R' AND nf = 'R') AS precedes, count(*) FILTER (f <> 'R' AND pf = 'R') AS follows, count(*) FILTER (f <> 'R' AND last_if IS NOT NULL) AS follows_any, count(*) FILTER (f = 'R' AND a = 1) AS has, count(*) FILTER (n = total) AS last FROM s GROUP BY l_orderkey""")
+def rule_siblings(spark, sf_dir):
+    sources = _calls(spark, sf_dir)
+    specs = {
+        "precedes": {"kind": "Assign", "precedes": {"kind": "If"}}, "follows": {"kind": "Assign", "follows": {"kind": "If"}}, "follows_any": {"kind": "Assign", "follows": {"kind": "If", "stopBy": "end"}}, "has": {"kind": "If", "has": {"pattern": "price(1, $$$)", "stopBy": "end"}},
+        "last": {"any": [{"kind": "Assign"}, {"kind": "If"}], "inside": {"kind": "Module"}, "nthChild": {"position": 1, "reverse": True}},
+    }
+    found = code.matches(sources, rules.patterns_of(list(specs.values())))
+    engine = rules.Engine(_tree(spark, sf_dir), found)
+    rows = None
+    for name, spec in specs.items():
+        part = engine.nodes(spec).select("doc", F.lit(name).alias("w"))
+        rows = part if rows is None else rows.unionByName(part)
+    docs = sources.select(F.col("path").alias("doc"))
+    return docs.join(rows, "doc", "left").groupBy("doc").agg(*[F.count_if(F.col("w") == n).alias(n) for n in specs])
+
+
+@query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, 'twice' AS rule, 'warning' AS severity, 'price of ' || a || ' twice, at ' || q AS message, count(*) AS n FROM l WHERE a = b AND l_orderkey % 10 IN (1, 2) GROUP BY ALL UNION ALL SELECT l_orderkey::VARCHAR, 'branch', 'hint', 'a branch', count(*) FROM l WHERE f = 'R' AND NOT starts_with(l_orderkey::VARCHAR, '1') GROUP BY ALL")
+def rule_findings(spark, sf_dir):
+    sources = _calls(spark, sf_dir)
+    configs = [
+        {"id": "twice", "rule": {"pattern": "price($A, $A, qty=$Q)"}, "severity": "warning", "message": "price of $A twice, at $Q", "files": ["*1", "*2"]}, {"id": "branch", "rule": {"kind": "If"}, "message": "a branch", "ignores": ["1*"]}, {"id": "off", "rule": {"kind": "Call"}, "severity": "off"},
+    ]
+    return rules.findings(sources, configs, tree=_tree(spark, sf_dir)).groupBy("doc", "rule", "severity", "message").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), p AS (SELECT *, k FROM o, (SELECT unnest(range(0, 6)) AS k))
+SELECT o_custkey::VARCHAR AS doc, k::INT AS line, CASE WHEN k = 0 THEN 'Box' WHEN k IN (1, 2) THEN 'Box.first' WHEN k = 3 THEN CASE WHEN n % 2 = 0 THEN 'Box.second' ELSE 'second' END WHEN k = 4 THEN CASE WHEN n % 2 = 0 THEN 'Box.second' ELSE 'second' END END AS symbol FROM p""")
+def enclosing_symbols(spark, sf_dir):
+    """A class for each customer; its second function is inside or behind it."""
+    even = F.col("n") % 2 == 0
+    second = F.when(even, "    def second(self):\n        pass\n").otherwise("def second(self):\n    pass\n")
+    sources = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(F.col("o_custkey").cast("string").alias("path"), F.concat(F.lit("class Box:\n    def first(self):\n        return 1\n"), second, F.lit("x = 1\n")).alias("text"))
+    places = sources.select(F.col("path").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("line"))
+    found = code.enclosing(code.outline(written(code.nodes(sources), "nodes")), places)
+    return found.select("doc", "line", F.concat_ws(".", F.nullif(F.col("symbol.container"), F.lit("")), "symbol.name").alias("symbol")).withColumn("symbol", F.nullif("symbol", F.lit("")))
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type AS kind, user_id, value::INT AS start FROM events WHERE event_type = 'click' AND user_id < 20) SELECT id, user_id, start FROM e ORDER BY user_id, start, id LIMIT 50 OFFSET 50""")
+def evidence_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id", F.bround("value").cast("int").alias("start"))
+    return lookups.page(lookups.where_equal(rows, kind="click", path=None), ["user_id", "start", "id"], 50, 50)[0].select("id", "user_id", "start")

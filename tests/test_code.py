@@ -120,6 +120,7 @@ def test_rules(spark, sources, tree):
         "any_not": ({"any": [{"kind": "Import"}, {"kind": "ImportFrom"}], "not": {"regex": "numpy"}}, ["from a.b import c as d, e", "import os.path"]),
         "nth": ({"kind": "arg", "nthChild": {"position": "2n+1", "ofRule": {"kind": "arg"}}}, ["self", "self", "y"]),
         "nth_last": ({"kind": "arg", "nthChild": {"position": 1, "reverse": True, "ofRule": {"kind": "arg"}}}, ["self", "y"]),
+        "where": ({"kind": "Call", "where": lambda nodes: F.length("text") > 15}, ["np.load(self.name)", "os.path.join(x, y)"]),
         "util": ({"matches": "printing", "inside": {"matches": {"name": "within", "KIND": "If"}, "stopBy": "end"}}, ["print(x, y)"]),
     }
     utilities = {"printing": {"kind": "Call", "regex": "^print"}, "within": {"arguments": ["KIND"], "rule": {"kind": "$KIND"}}}
@@ -185,6 +186,8 @@ def test_findings_by_config(spark, sources, tree):
 
 def test_outline_imports_and_calls(tree):
     symbols = code.outline(tree)
+    own = rules.outline(rules.Engine(tree), [{"symbol": "method", "rule": {"kind": "FunctionDef", "inside": {"kind": "ClassDef"}}}, {"symbol": "function", "rule": {"kind": "FunctionDef"}}, {"symbol": "class", "rule": {"kind": "ClassDef"}}])
+    assert sorted((r["symbol"], r["name"]) for r in own.collect()) == [("class", "Box"), ("function", "alone"), ("method", "first"), ("method", "second")]
     assert sorted((r["container"], r["name"]) for r in symbols.collect()) == [("", "Box"), ("", "alone"), ("Box", "first"), ("Box", "second")]
     places = tree.sparkSession.createDataFrame([("pkg/box.py", 8), ("pkg/box.py", 5), ("pkg/box.py", 0)], "doc string, line int")
     assert {r["line"]: r["symbol"] and r["symbol"]["name"] for r in code.enclosing(symbols, places).collect()} == {8: "first", 5: "Box", 0: None}
