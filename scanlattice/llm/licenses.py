@@ -20,7 +20,7 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 # identifiers' families, by prefix of the lower-cased identifier.
-FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "cc-by": "cc-by", "cc0": "public-domain", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "unlicense": "public-domain", "isc": "isc", "licenseref": "custom", "0bsd": "bsd", "zlib": "zlib", "bsl-1": "bsl"}
+FAMILIES = {"cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by-sa": "cc-by-sa", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "cc-by": "cc-by", "cc0": "public-domain", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "unlicense": "public-domain", "isc": "isc", "licenseref": "custom", "0bsd": "bsd", "zlib": "zlib", "bsl-1": "bsl"}
 PERMISSIVE = {"apache", "mit", "bsd", "isc", "public-domain", "cc-by", "zlib", "bsl"}
 # SPDX identifiers that have neither a digit nor a hyphen.
 PLAIN = """AAL Abstyles AdaCore Afmparse AMDPLPA AML AMPAS APAFML Bahyph Barr Beerware blessing Borceux Caldera checkmk ClArtistic Crossword CrystalStacker
@@ -36,8 +36,9 @@ _TAG_TEXT = re.compile(r"spdx-license-identifier:", re.I)
 
 
 def family(identifier: str) -> str | None:
+    """The family of a whole identifier: a prefix with a version or variant behind it, no longer word."""
     low = identifier.lower()
-    return next((label for prefix, label in FAMILIES.items() if low.startswith(prefix)), None)
+    return next((label for prefix, label in FAMILIES.items() if low.startswith(prefix) and re.match(r"(?:v\d|[^a-z]|$)", low[len(prefix) :])), None)
 
 
 def is_identifier(token: str, prose: bool = False) -> bool:
@@ -56,6 +57,11 @@ def is_identifier(token: str, prose: bool = False) -> bool:
 def parse(text: str, at: int = 0) -> list[str] | None:
     """The expression at a place of text in reverse Polish order, None if there is none. It ends at
     the first token that cannot continue it; operators compare in either case."""
+    return read(text, at)[0]
+
+
+def read(text: str, at: int = 0) -> tuple[list[str] | None, bool]:
+    """(what parse gives, whether more was meant: a capital operator without an operand, or an open bracket)."""
     out: list[str] = []
     stack: list[str] = []
     operand, good, depth, prose = True, None, 0, False
@@ -86,7 +92,7 @@ def parse(text: str, at: int = 0) -> list[str] | None:
         at = m.end()
         if not operand and not depth:  # whole so far: what follows may turn out to be prose
             good = out + [x for x in reversed(stack)]
-    return good
+    return good, bool(depth or (operand and stack and not prose))
 
 
 def evaluate(rpn: list[str]) -> tuple[set[str], bool]:
@@ -140,13 +146,13 @@ def scan_text(value: bytes | None, automaton) -> dict:
     if tagged:
         text = value.decode("utf-8", "replace")
         for m in _TAG_TEXT.finditer(text):
-            rpn = parse(text, m.end())
+            rpn, cut = read(text, m.end())
             if rpn:
                 found, permissive = evaluate(rpn)
                 labels |= found
-                terms.append((" ".join(rpn), permissive))
+                terms.append((" ".join(rpn), None if cut else permissive))
     score = 1 - 0.5**notices * (0.1 if terms else 1.0) if notices or terms else 0.0
-    return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "expressions": "; ".join(t for t, _ in terms), "permissive": any(p for _, p in terms) if terms else None, "score": score}
+    return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "expressions": "; ".join(t for t, _ in terms), "permissive": any(p for _, p in terms) if terms and all(p is not None for _, p in terms) else None, "score": score}
 
 
 _FIELDS = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.string()), ("permissive", pa.bool_()), ("score", pa.float64())]
@@ -165,7 +171,8 @@ class _Scan:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs, repeated rows and null ids included. Null and empty texts have no words
-    and score 0. score is 1 less 0.5 for each notice, multiplied, and less 0.9 of the rest for a parsed
+    and score 0. Labels are distinct and sorted; permissive is null without an expression or where one is cut
+    short. score is 1 less 0.5 for each notice, multiplied, and less 0.9 of the rest for a parsed
     expression: 0 without evidence, below 1 always."""
     ship(docs.sparkSession)
     kind = docs.select(doc_id).schema[0].dataType.simpleString()

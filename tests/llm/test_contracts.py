@@ -358,3 +358,17 @@ def test_texts_with_stops_after_any_letter():
     for lo in range(0, len(letters), 100):
         text = " ".join(f"a{x}. {x}, {x}., A{x}... {x}. b ×. {x}.b …, 'S. <{x}>." for x in letters[lo : lo + 100]) + " end."
         assert np.frombuffer(own.text(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(
+    "tag, labels, permissive",
+    [
+        ("MIT AND (GPL-3.0 OR EUPL-1.2)", "eupl-1.2,gpl,mit", False), ("CC-BY-NC-4.0", "cc-by,cc-by-nc", False), ("CC-BY-4.0", "cc-by", True), ("CC-BY-ND-3.0 OR MIT", "cc-by,cc-by-nd,mit", True), ("MIT AND", "mit", None), ("MIT AND (GPL-3.0", "mit", None), ("(MIT OR Apache-2.0) AND", "apache,mit", None),
+        ("MIT and so on", "mit", True), ("mitigation", "", None), ("GPLv2", "gpl", False), ("Apache-2.0 WITH LLVM-exception", "apache", True), ("MIT-0", "mit", True), ("bsdish", "", None),
+    ],
+)
+def test_license_terms_that_are_cut_or_restricted(tag, labels, permissive):
+    from scanlattice.llm import licenses
+
+    got = licenses.scan_text(f"SPDX-License-Identifier: {tag}\n".encode(), licenses._automaton())
+    assert (got["labels"], got["permissive"]) == (labels, permissive)
