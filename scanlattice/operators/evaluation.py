@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scanlattice.functions import text as T
+from scanlattice.functions.shipping import ship
 
 
 
@@ -19,23 +20,33 @@ def classify(predictions: DataFrame, regions: DataFrame) -> DataFrame:
     return out.withColumn("class", F.when(F.col("rank") == 0, "ignored").when(F.col("rank") == 1, "safe_region").otherwise("open")).drop("rank")
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Predictions in order; each takes the first expectation of its own that no earlier one took."""
-    taken, out = set(), []
-    for (ordinal, cited), own in rows.sort_values(["ordinal", "expectation"]).groupby(["ordinal", "cited"], sort=True):
-        free = next((e for e in own["expectation"] if e not in taken), None)
-        if free is not None:
-            taken.add(free)
-            out.append((rows["trial"].iloc[0], ordinal, free, bool(cited)))
-    return pd.DataFrame(out, columns=["trial", "ordinal", "expectation", "cited"])
+class _Greedy:
+    """mapInArrow function over pairs in order of trial, prediction and expectation: each prediction takes the first
+    expectation of its own that no earlier one of the trial took. Only a trial's own choices are held."""
+
+    def __call__(self, batches):
+        trial, taken, last = None, set(), None
+        for batch in batches:
+            out = []
+            for t, ordinal, expectation, cited in zip(*(batch.column(n).to_pylist() for n in ("trial", "ordinal", "expectation", "cited"))):
+                if t != trial:
+                    trial, taken, last = t, set(), None
+                if ordinal != last and expectation not in taken:
+                    taken.add(expectation)
+                    last = ordinal
+                    out.append((t, ordinal, expectation, cited))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["trial", "ordinal", "expectation", "cited"])
 
 
 def matched(open_: DataFrame, expectations: DataFrame) -> DataFrame:
     """(trial, ordinal, expectation, cited): one-to-one matches of predictions and expectations(case, expectation, cwe,
-    disposition, file, start_line, end_line). A trial's pairs are few (those that overlap), so it is one group."""
+    disposition, file, start_line, end_line), greedy in the order of predictions. Tasks stream over sorted trials."""
+    ship(open_.sparkSession)
     p = open_.select("trial", "case", "ordinal", "cwe", "disposition", "file", "line", "cited")
     pairs = p.join(expectations, ["case", "cwe", "disposition", "file"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return pairs.select("trial", "ordinal", "expectation", "cited").groupBy("trial").applyInPandas(_greedy, "trial string, ordinal long, expectation long, cited boolean")
+    ordered = pairs.select("trial", "ordinal", "expectation", "cited").repartition("trial").sortWithinPartitions("trial", "ordinal", "expectation")
+    return ordered.mapInArrow(_Greedy(), "trial string, ordinal long, expectation long, cited boolean")
 
 
 def score(trials: DataFrame, predictions: DataFrame, expectations: DataFrame, regions: DataFrame) -> DataFrame:
