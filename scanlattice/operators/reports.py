@@ -190,3 +190,40 @@ def portable(c: Column, root: str) -> Column:
     """JSON text with the root's paths made relative, wherever they stand in string values."""
     own = re.escape(json.dumps(root.rstrip("/"))[1:-1])
     return F.regexp_replace(F.regexp_replace(c, f'"{own}"', '"."'), f'"{own}/', '"')
+
+
+# --- sinks -------------------------------------------------------------------------------------------
+
+
+def write_scan(path: str, evidence: DataFrame, paths: DataFrame, covered: DataFrame, root: str = ".") -> None:
+    """A scan result below a folder: evidence, paths and coverage as JSON lines in canonical order, and a head with
+    counts. The root is written as given, so that results of two machines compare."""
+    evidence.orderBy("path", "start", "rule").write.mode("errorifexists").json(f"{path}/evidence")
+    paths.orderBy("id").write.mode("errorifexists").json(f"{path}/paths")
+    covered.orderBy("path").write.mode("errorifexists").json(f"{path}/coverage")
+    spark = evidence.sparkSession
+    counts = [spark.read.json(f"{path}/{part}").count() for part in ("evidence", "paths", "coverage")]
+    spark.createDataFrame([("2.1", root, *counts)], "schema_version string, root string, evidence long, paths long, files long").coalesce(1).write.mode("errorifexists").json(f"{path}/head")
+
+
+def write_bundles(paged: DataFrame, path: str) -> None:
+    """Request pages as JSON lines, a folder for each run and page, and their manifest beside them."""
+    paged.write.mode("errorifexists").partitionBy("run", "page").json(f"{path}/requests")
+    manifest(paged).orderBy("run", "page").write.mode("errorifexists").json(f"{path}/manifest")
+
+
+def write_inventory(entries: DataFrame, admitted: DataFrame, path: str) -> None:
+    """The whole inventory, the identities of its entries and those that were not admitted, with the reason."""
+    entries.join(admitted.where("disposition = 'review'").select("id"), "id", "left_semi").write.mode("errorifexists").parquet(f"{path}/inventory")
+    admitted.select("id", F.sha2(F.concat_ws("\u0000", *[F.col(c).cast("string") for c in admitted.columns if c in ("path", "rule", "start", "capability", "kind")]), 256).alias("identity")).write.mode("errorifexists").parquet(f"{path}/identities")
+    admitted.where("disposition != 'review'").select("id", "reason").write.mode("errorifexists").parquet(f"{path}/excluded")
+
+
+def append_journal(calls: DataFrame, path: str) -> None:
+    """Calls with their status, added to a folder of JSON lines."""
+    journal(calls).write.mode("append").json(path)
+
+
+def append_journal_stream(calls: DataFrame, path: str, checkpoint: str):
+    """The same for a stream of calls: a query that writes each call once, also after a restart."""
+    return journal(calls).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -62,6 +63,39 @@ def read_journal(spark: SparkSession, path: str, through: int | None = None) ->
     return rows
 
 
+def append(path: str, operation: str, command: str, result: str) -> tuple[int, bool]:
+    """Adds a transaction to a local journal file, under a lock; gives its sequence and whether it is a replay.
+
+    The same operation and command again give the receipt of before and write nothing; another command under the
+    operation is a ValueError, as are a torn tail, a broken chain and a full journal."""
+    import fcntl
+
+    with open(path, "a+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        f.seek(0)
+        data = f.read(JOURNAL_LIMIT + 1)
+        if data and not data.endswith(b"\n"):
+            raise ValueError("the journal has a torn tail")
+        at, previous = 0, ""
+        for line in data.splitlines():
+            t = json.loads(line)
+            if (t["sequence"], t["previous_hash"]) != (at + 1, previous) or t["hash"] != transaction_hash(*(t[c] for c in ("sequence", "previous_hash", "operation", "command", "result"))):
+                raise ValueError("the journal's order or integrity is broken")
+            if t["operation"] == operation:
+                if t["command"] != command:
+                    raise ValueError("the operation belongs to another command")
+                return t["sequence"], True
+            at, previous = t["sequence"], t["hash"]
+        row = transactions([(operation, command, result)], (at, previous))[0]
+        added = json.dumps(dict(zip((c.split()[0] for c in TRANSACTION.split(", ")), row))).encode() + b"\n"
+        if len(data) + len(added) > JOURNAL_LIMIT:
+            raise ValueError("the journal exceeds its size limit")
+        f.write(added)
+        f.flush()
+        os.fsync(f.fileno())
+        return row[0], False
+
+
 def unlinked(rows: DataFrame) -> DataFrame:
     """Sequences of rows that do not follow the one before, by number or by hash, or that share a number. The
     neighbour comes by an equi-join on the sequence, not in one sorted task."""

@@ -472,3 +472,38 @@ def test_lookups(spark):
     edges = spark.createDataFrame([("b/c.py", 1, ".d", "e"), ("b/c.py", 2, "..a", "x"), ("a.py", 1, "b.c", None), ("a.py", 2, "zz", None)], "doc string, line int, module string, name string")
     more = files.select("path").union(spark.createDataFrame([("b/d/__init__.py",)], "path string"))
     assert {(r["doc"], r["line"]): r["target"] for r in lookups.targets(edges, more).collect()} == {("b/c.py", 1): "b/d/__init__.py", ("b/c.py", 2): "a.py", ("a.py", 1): "b/c.py", ("a.py", 2): None}
+
+
+def test_journal_appends(spark, tmp_path):
+    path = f"{tmp_path}/j.jsonl"
+    assert [state.append(path, *x) for x in (("o1", "c1", "r"), ("o2", "c2", "r"), ("o1", "c1", "r"))] == [(1, False), (2, False), (1, True)]
+    assert state.read_journal(spark, f"file://{path}").count() == 2
+    with pytest.raises(ValueError):
+        state.append(path, "o1", "other", "r")
+    whole = open(path).read()
+    for bad in (whole[:-1], whole.replace("c2", "c9")):
+        open(path, "w").write(bad)
+        with pytest.raises(ValueError):
+            state.append(path, "o3", "c", "r")
+
+
+def test_sinks(spark, tmp_path):
+    rows = evidence(spark)
+    paths = relations.security_paths(rows, relations.catalog(spark, [CONTRACT]))
+    reports.write_scan(f"{tmp_path}/scan", rows, paths, spark.createDataFrame([("f.py", "scanned")], "path string, status string"))
+    assert spark.read.json(f"{tmp_path}/scan/head").first()[:] == (8, 1, 1, ".", "2.1")
+    assert [r["id"] for r in spark.read.json(f"{tmp_path}/scan/evidence").where("kind = 'source'").orderBy("start", "id").collect()] == ["s1", "s3", "s2"]
+    requests = spark.createDataFrame([("r", n, 5) for n in range(5)], "run string, ordinal long, bytes long")
+    reports.write_bundles(reports.bundles(requests, 10, 9), f"{tmp_path}/b")
+    assert spark.read.json(f"{tmp_path}/b/manifest").count() == 3 and spark.read.json(f"{tmp_path}/b/requests").where("page = 0").count() == 2
+    admitted = rows.withColumn("disposition", F.when(F.col("kind") == "sink", "review").otherwise("inventory_only")).withColumn("reason", F.lit("context_only"))
+    reports.write_inventory(rows, admitted, f"{tmp_path}/i")
+    assert [spark.read.parquet(f"{tmp_path}/i/{p}").count() for p in ("inventory", "identities", "excluded")] == [3, 8, 5]
+    calls = spark.createDataFrame([("a", None, False, 0, 1)], "operation string, error string, truncated boolean, results int, elapsed_ms long")
+    for _ in range(2):
+        reports.append_journal(calls, f"{tmp_path}/calls")
+    assert [r["status"] for r in spark.read.json(f"{tmp_path}/calls").collect()] == ["empty", "empty"]
+    for _ in range(2):
+        query = reports.append_journal_stream(spark.readStream.schema("operation string, error string, truncated boolean, results int, elapsed_ms long").json(f"{tmp_path}/calls"), f"{tmp_path}/out", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
