@@ -420,3 +420,38 @@ def admission(evidence: DataFrame, connected: DataFrame) -> DataFrame:
 def pass_timing(runs: DataFrame) -> DataFrame:
     """runs(name, microseconds) by pass."""
     return runs.groupBy("name").agg(F.count("*").alias("runs"), F.sum("microseconds").alias("microseconds"))
+
+
+# --- modules and links across files ------------------------------------------------------------------
+
+# Endings that a module name may leave out, in the order in which they are tried.
+ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.mjs")
+
+
+def packages(files: DataFrame) -> DataFrame:
+    """(name, folder, main) of every package.json with a name; of two with one name the shallower counts."""
+    j = lambda p: F.get_json_object("text", p)
+    rows = files.where(F.element_at(F.split("path", "/"), -1) == "package.json").select(j("$.name").alias("name"), F.regexp_replace("path", "[^/]*$", "").alias("folder"), F.coalesce(j("$.main"), F.lit("index")).alias("main")).where("name is not null")
+    return rows.groupBy("name").agg(F.min_by(F.struct("folder", "main"), F.struct(F.length("folder"), "folder")).alias("p")).select("name", "p.*")
+
+
+def module_targets(imports: DataFrame, files: DataFrame, known: DataFrame) -> DataFrame:
+    """imports(path, specifier) with the file that each means, null if there is none in the tree: relative names from
+    the importer's folder, package names through the workspace's packages(name, folder, main)."""
+    relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
+    first = F.when(F.col("specifier").startswith("@"), F.regexp_extract("specifier", "^[^/]+/[^/]+", 0)).otherwise(F.regexp_extract("specifier", "^[^/]+", 0))
+    keyed = imports.withColumn("name", F.when(~relative, first)).join(known, "name", "left")
+    rest = F.substring(F.col("specifier"), F.length("name") + 2, F.length("specifier"))
+    full = F.when(relative, F.concat(F.regexp_replace("path", "[^/]*$", ""), "specifier")).when(F.col("folder").isNotNull(), F.concat("folder", F.when(rest == "", F.col("main")).otherwise(rest)))
+    walked = F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p.isin(".", ""), acc).otherwise(F.array_append(acc, p)))
+    base = keyed.select("path", "specifier", F.array_join(walked, "/").alias("base"))
+    tries = base.select("path", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("rank", "target"))
+    found = tries.join(files.select(F.col("path").alias("target")), "target", "left_semi").groupBy("path", "specifier").agg(F.min_by("target", "rank").alias("target"))
+    return imports.join(found, ["path", "specifier"], "left")
+
+
+def unreleased(opened: DataFrame, closed: DataFrame) -> DataFrame:
+    """opened(id, symbol, path, function) that no closed(symbol, function) of any file releases: by the symbol and, where the
+    release names one, the function that hands it on. Linked after all files are scanned, as one anti-join."""
+    own = closed.select("symbol", F.col("function").alias("by"))
+    return opened.join(own, (opened.symbol == own.symbol) & (F.col("by").isNull() | (F.col("by") == F.col("function"))), "left_anti")

@@ -159,3 +159,15 @@ def test_admission_and_timing(spark):
     rules = spark.createDataFrame([("a", "js"), ("b", "js"), ("a", "py")], "id string, language string")
     assert facts.compiled_rules(rules, {"js": ["a"]}).count() == 2
     assert facts.pass_timing(spark.createDataFrame([("p", 2), ("p", 3)], "name string, microseconds long")).first()[:] == ("p", 2, 5)
+
+
+def test_modules_and_links(spark):
+    files = spark.createDataFrame([("package.json", '{"name": "root"}'), ("lib/ui/package.json", '{"name": "@org/ui", "main": "src/main.js"}'), ("lib/copy/ui/package.json", '{"name": "@org/ui"}'), ("lib/ui/src/main.js", ""), ("lib/ui/x.ts", ""), ("app/a.ts", ""), ("app/b/index.js", ""), ("app/c.js", ""), ("app/c.ts", "")], "path string, text string")
+    known = facts.packages(files)
+    assert {tuple(r) for r in known.collect()} == {("root", "", "index"), ("@org/ui", "lib/ui/", "src/main.js")}
+    rows = [("app/a.ts", s) for s in ("./b", "./c", "../lib/ui/x", "@org/ui", "@org/ui/x", "react", "./gone", "../../../c")]
+    got = {r["specifier"]: r["target"] for r in facts.module_targets(spark.createDataFrame(rows, "path string, specifier string"), files, known).collect()}
+    assert got == {"./b": "app/b/index.js", "./c": "app/c.ts", "../lib/ui/x": "lib/ui/x.ts", "@org/ui": "lib/ui/src/main.js", "@org/ui/x": "lib/ui/x.ts", "react": None, "./gone": None, "../../../c": None}
+    opened = spark.createDataFrame([("1", "a", "f", "g"), ("2", "b", "f", "g"), ("3", "c", "f", "h")], "id string, symbol string, path string, function string")
+    closed = spark.createDataFrame([("a", None), ("b", "g"), ("c", "g")], "symbol string, function string")
+    assert [r["id"] for r in facts.unreleased(opened, closed).collect()] == ["3"]
