@@ -120,12 +120,13 @@ def inventory(entries: DataFrame, capability=None, cwe: str | None = None, prefi
     return out.join(reviewed.select("id"), "id", "left_anti") if reviewed is not None else out
 
 
-def contract_queue(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups by contract key, one row with the number of entries without any). An entry of several keys is in
-    several groups; groups never share a verdict. Order: many first, then by key."""
+def contract_queue(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups by contract key, their members, one row with the number of entries without any key). An entry of several
+    keys is in several groups; groups never share a verdict. Members are rows (key, id) and no lists: a key may hold a
+    large part of all entries. For a page: many first, then by key."""
     keyed = entries.select("id", "path", F.explode(F.array_distinct("contracts")).alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("entries"), F.countDistinct("path").alias("files"), F.array_sort(F.collect_list("id")).alias("members"), F.lit(False).alias("verified"))
-    return groups, entries.agg(F.count_if(F.size("contracts") <= 0).alias("ungrouped"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("entries"), F.countDistinct("path").alias("files"), F.min("id").alias("first"), F.lit(False).alias("verified"))
+    return groups, keyed.select("key", "id"), entries.agg(F.count_if(F.size("contracts") <= 0).alias("ungrouped"))
 
 
 def implementations(entries: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def confirmed(findings: DataFrame) -> DataFrame:
 def finding_groups(findings: DataFrame) -> DataFrame:
     """Confirmed findings(ordinal, title, category, remediation) by these three, in the order first seen."""
     key = [F.col(c) for c in ("title", "category", "remediation")]
-    own = findings.where("decision = 'issue'").groupBy(*key).agg(F.count("*").alias("instances"), F.min("ordinal").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cwes")))).alias("cwes"))
-    return own.withColumn("place", F.row_number().over(Window.orderBy("first")))  # one row for each kind of finding
+    own = findings.where("decision = 'issue'").groupBy(*key).agg(F.count("*").alias("instances"), F.min("ordinal").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("cwes")))).alias("cwes"))
+    return own.withColumn("place", F.row_number().over(Window.orderBy("first", "title", "category", "remediation")))  # one row for each kind of finding
 
 
 def markdown(findings: DataFrame, title: str) -> DataFrame:

@@ -453,14 +453,11 @@ def journal_breaks(spark, sf_dir):
 # --- reports, advisories, lookups ----------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS ordinal, l_returnflag AS title, l_linestatus AS category, CASE WHEN l_quantity > 25 THEN 'fix' END AS remediation, 'CWE-' || l_linenumber AS cwe FROM lineitem WHERE l_tax > 0.02)
-SELECT title, category, remediation, count(*) AS instances, min(ordinal) AS first, array_to_string(list_sort(list_distinct(list(cwe))), ',') AS cwes, row_number() OVER (ORDER BY min(ordinal))::INT AS place FROM f GROUP BY ALL""")
+@query("""WITH f AS (SELECT l_orderkey * 100 + l_linenumber AS ordinal, l_returnflag AS title, l_linestatus AS category, CASE WHEN l_quantity > 25 THEN 'fix' END AS remediation, 'CWE-' || l_linenumber AS cwe FROM lineitem WHERE l_tax > 0.02)
+SELECT title, category, remediation, count(*) AS instances, min(ordinal) AS first, array_to_string(list_sort(list_distinct(list(cwe))), ',') AS cwes, row_number() OVER (ORDER BY min(ordinal), title, category, remediation NULLS FIRST)::INT AS place FROM f GROUP BY ALL""")
 def finding_groups(spark, sf_dir):
-    from pyspark.sql import Window
-
     items = table(spark, sf_dir, "lineitem").where("l_tax > 0.02")
-    place = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")).cast("long")  # ordinals of a report are one sequence
-    rows = items.select(place.alias("ordinal"), F.lit("issue").alias("decision"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("category"), F.when(F.col("l_quantity") > 25, "fix").alias("remediation"), F.array(F.concat(F.lit("CWE-"), "l_linenumber")).alias("cwes"))
+    rows = items.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal"), F.lit("issue").alias("decision"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("category"), F.when(F.col("l_quantity") > 25, "fix").alias("remediation"), F.array(F.concat(F.lit("CWE-"), "l_linenumber")).alias("cwes"))
     return reports.finding_groups(rows).withColumn("cwes", F.array_join("cwes", ","))
 
 
@@ -535,9 +532,9 @@ def _entries(spark, sf_dir):
 
 @query(_ENTRY_SQL + "SELECT key, count(*) AS entries, count(DISTINCT path) AS files, min(id) AS first, (SELECT count(*) FROM e WHERE len(contracts) = 0) AS ungrouped FROM (SELECT id, path, unnest(contracts) AS key FROM e) GROUP BY key")
 def contract_groups(spark, sf_dir):
-    groups, rest = lookups.contract_queue(_entries(spark, sf_dir))
+    groups, _, rest = lookups.contract_queue(_entries(spark, sf_dir))
     one = rest.withColumn("k", F.lit(1))
-    return groups.withColumn("k", F.lit(1)).join(F.broadcast(one), "k").select("key", "entries", "files", F.element_at("members", 1).alias("first"), "ungrouped")  # one row beside the groups
+    return groups.withColumn("k", F.lit(1)).join(F.broadcast(one), "k").select("key", "entries", "files", "first", "ungrouped")  # one row beside the groups
 
 
 @query("""WITH g AS (SELECT o_custkey % 20 AS neighborhood, o_orderstatus AS capability, 'C' || o_custkey % 4 AS cwe, count(*) AS reviews FROM orders GROUP BY ALL) SELECT capability, sum(reviews)::BIGINT AS reviews, count(*) AS implementations FROM g GROUP BY capability""")

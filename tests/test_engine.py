@@ -456,8 +456,9 @@ def test_lookups(spark):
     entries = spark.createDataFrame([("1", "q", ["A"], "p/x", ["k1", "k2"], [("lit",)], "n", 5), ("2", "q", ["A"], "p/y", ["k1"], [], "n", 2), ("3", "r", [], "z", [], [], "n", 1)], "id string, capability string, cwes array<string>, path string, contracts array<string>, operands array<struct<kind:string>>, neighborhood string, line int")
     ids = lambda **k: [r["id"] for r in lookups.inventory(entries, **k).orderBy("id").collect()]
     assert ids() == ["1", "2", "3"] and ids(capability="q", prefix="p/", cwe="A", contract="k1", operand="lit") == ["1"] and ids(reviewed=entries.where("id = '2'")) == ["1", "3"]
-    groups, rest = lookups.contract_queue(entries)
-    assert sorted((r["key"], r["entries"], r["files"], r["members"]) for r in groups.collect()) == [("k1", 2, 2, ["1", "2"]), ("k2", 1, 1, ["1"])] and rest.first()["ungrouped"] == 1
+    groups, members, rest = lookups.contract_queue(entries)
+    assert sorted(map(tuple, members.collect())) == [("k1", "1"), ("k1", "2"), ("k2", "1")]
+    assert sorted((r["key"], r["entries"], r["files"], r["first"]) for r in groups.collect()) == [("k1", 2, 2, "1"), ("k2", 1, 1, "1")] and rest.first()["ungrouped"] == 1
     assert {(r["capability"], r["reviews"], r["representative"]) for r in lookups.implementations(entries).collect()} == {("q", 2, "1"), ("r", 1, "3")}
     page, following = lookups.page(entries, ["id"], 0, 2)
     assert (page.count(), following) == (2, 2) and lookups.page(entries, ["id"], 2, 2)[1] is None
