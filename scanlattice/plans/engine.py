@@ -454,7 +454,7 @@ def journal_breaks(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT l_orderkey * 100 + l_linenumber AS ordinal, l_returnflag AS title, l_linestatus AS category, CASE WHEN l_quantity > 25 THEN 'fix' END AS remediation, 'CWE-' || l_linenumber AS cwe FROM lineitem WHERE l_tax > 0.02)
-SELECT title, category, remediation, count(*) AS instances, min(ordinal) AS first, array_to_string(list_sort(list_distinct(list(cwe))), ',') AS cwes, row_number() OVER (ORDER BY min(ordinal), title, category, remediation NULLS FIRST)::INT AS place FROM f GROUP BY ALL""")
+SELECT *, row_number() OVER (ORDER BY first, title, category, remediation NULLS FIRST)::INT AS place FROM (SELECT title, category, remediation, count(*) AS instances, min(ordinal) AS first, array_to_string(list_sort(list_distinct(list(cwe))), ',') AS cwes FROM f GROUP BY title, category, remediation)""")
 def finding_groups(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").where("l_tax > 0.02")
     rows = items.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal"), F.lit("issue").alias("decision"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("category"), F.when(F.col("l_quantity") > 25, "fix").alias("remediation"), F.array(F.concat(F.lit("CWE-"), "l_linenumber")).alias("cwes"))
