@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -48,8 +50,9 @@ def clear(spark: SparkSession) -> None:
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # stopped: the folder stays for whoever clears the shared one
         return
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone before Python
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -149,6 +149,14 @@ def column_of(text: Column, offset: Column) -> Column:
     return (F.length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)) + 1).cast("long")
 
 
+def byte_position(text: Column, offset: Column) -> Column:
+    """(line, column, offset) of a byte offset at the start of a character: both from 1, columns in characters."""
+    head = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int")), "UTF-8")
+    line = F.length(F.regexp_replace(head, "[^\n]", "")) + 1
+    column = F.length(F.substring_index(head, "\n", -1)) + 1
+    return F.struct(line.cast("long").alias("line"), column.cast("long").alias("column"), offset.cast("long").alias("offset"))
+
+
 def relative_path(c: Column) -> Column:
     """Slashes for backslashes, without leading `./`."""
     return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^(\./)+", "")

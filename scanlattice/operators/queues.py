@@ -87,3 +87,27 @@ def select_follow_ups(claims: DataFrame, notes: DataFrame, scope: tuple[str, ...
     keys = taken.select("key", F.lit("shared_repair_point").alias("shared"))
     chosen = ranked.join(F.broadcast(taken), ["key", "order"], "left").join(F.broadcast(keys), "key", "left").select("review", F.coalesce("taken", "shared", F.lit("fast_cap")).alias("decided"))
     return rows.join(chosen, "review", "left").select(*claims.columns, F.coalesce("outcome", "decided").alias("outcome"))
+
+
+def review_diff(before: DataFrame, after: DataFrame, contract_changed: bool = False, layout_changed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """before and after are (id, content, bundle). (bundles of after to validate, one row of counts with what to validate).
+
+    A changed contract or bundle layout asks for the full pack; else bundles with an added or changed review, and with
+    one at least also those whose set of members no bundle of before has; removals alone ask for nothing."""
+    status = difference(before, after, "id", "content")
+    touched = status.where("status in ('added', 'changed')")
+    counts = status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "changed", "unchanged")])
+    if contract_changed or layout_changed:
+        bundles = after.select("bundle").distinct()
+    else:
+        # Equal sets have the same number of members and the same sum of their hashes; members are never gathered.
+        member = F.xxhash64(F.col("id").cast("string"))
+        sets = lambda rows: rows.select("bundle", "id").distinct().groupBy("bundle").agg(F.count("*").alias("n"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("x"))
+        moved = sets(after).join(sets(before).select("n", "s", "x").distinct(), ["n", "s", "x"], "left_anti").select("bundle")
+        own = after.join(touched.select("id"), "id", "left_semi").select("bundle")
+        any_ = touched.limit(1).select(F.lit(1).alias("k"))  # one row, if there is a reason at all
+        moved = moved.withColumn("k", F.lit(1)).join(F.broadcast(any_), "k", "left_semi").select("bundle")
+        bundles = own.union(moved).distinct()
+    full = contract_changed or layout_changed
+    verdict = F.lit("full_pack") if full else F.when(F.col("added") + F.col("changed") == 0, "not_required").otherwise("changed_bundles")
+    return bundles, counts.withColumn("validation", verdict)

@@ -759,3 +759,22 @@ def enclosing_symbols(spark, sf_dir):
 def evidence_page(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id", F.bround("value").cast("int").alias("start"))
     return lookups.page(lookups.where_equal(rows, kind="click", path=None), ["user_id", "start", "id"], 50, 50)[0].select("id", "user_id", "start")
+
+
+@query("""WITH t AS (SELECT doc_id, text, (doc_id * 37 % greatest(length(text), 1))::BIGINT AS k FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, substr(text, 1, k) AS head FROM t)
+SELECT doc_id, octet_length(encode(head)) AS "offset", (length(head) - length(replace(head, chr(10), '')) + 1)::BIGINT AS line, (length(string_split(head, chr(10))[-1]) + 1)::BIGINT AS col FROM h""")
+def byte_positions(spark, sf_dir):
+    k = (F.col("doc_id") * 37 % F.greatest(F.length("text"), F.lit(1))).cast("int")
+    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("at", F.octet_length(F.substring(F.col("text"), F.lit(1), k)))
+    return docs.select("doc_id", T.byte_position(F.col("text"), F.col("at")).alias("p")).select("doc_id", F.col("p.offset").cast("int").alias("offset"), "p.line", F.col("p.column").alias("col"))
+
+
+@query("""WITH b AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS c FROM documents WHERE source <> 'src3'), a AS (SELECT doc_id AS id, CASE WHEN lang = 'es' THEN 'x' ELSE sha256(coalesce(text, '')) END AS c, source AS bundle FROM documents WHERE source <> 'src5'),
+s AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.c = b.c THEN 'unchanged' ELSE 'changed' END AS status, bundle FROM b FULL JOIN a ON a.id = b.id)
+SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged, 'changed_bundles' AS validation, count(DISTINCT bundle) FILTER (status IN ('added', 'changed')) AS bundles FROM s""")
+def review_set_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"), F.col("source").alias("bundle"), "lang")
+    after = docs.where("bundle != 'src5'").withColumn("content", F.when(F.col("lang") == "es", "x").otherwise(F.col("content")))
+    bundles, counts = queues.review_diff(docs.where("bundle != 'src3'").drop("lang"), after.drop("lang"))
+    one = counts.withColumn("k", F.lit(1)).join(bundles.agg(F.count("*").alias("bundles")).withColumn("k", F.lit(1)), "k")  # single rows
+    return one.select("added", "removed", "changed", "unchanged", "validation", "bundles")

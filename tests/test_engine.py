@@ -508,3 +508,18 @@ def test_sinks(spark, tmp_path):
         query = reports.append_journal_stream(spark.readStream.schema("operation string, error string, truncated boolean, results int, elapsed_ms long").json(f"{tmp_path}/calls"), f"{tmp_path}/out", f"{tmp_path}/c").trigger(availableNow=True).start()
         query.awaitTermination(60)
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+
+
+def test_review_diffs(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id string, content string, bundle string")
+    before = frame(("a", "1", "x"), ("b", "1", "x"), ("c", "1", "y"), ("d", "1", "z"))
+
+    def diff(after, **more):
+        bundles, counts = queues.review_diff(before, after, **more)
+        return sorted(r["bundle"] for r in bundles.collect()), tuple(counts.first())
+
+    assert diff(frame(("a", "2", "x"), ("b", "1", "x"), ("c", "1", "y"), ("e", "1", "w"))) == (["w", "x"], (1, 1, 1, 1 + 1, "changed_bundles"))
+    assert diff(frame(("a", "1", "x"), ("b", "1", "x"), ("c", "1", "y"))) == ([], (0, 1, 0, 3, "not_required"))
+    assert diff(frame(("a", "1", "x"), ("c", "1", "x"), ("b", "1", "y"), ("d", "1", "z"), ("n", "1", "q"))) == (["q", "x", "y"], (1, 0, 0, 4, "changed_bundles"))
+    assert diff(before, layout_changed=True) == (["x", "y", "z"], (0, 0, 0, 4, "full_pack"))
+    assert value(spark, T.byte_position(F.lit("aé\nüb"), F.lit(6)))[:] == (2, 2, 6)
