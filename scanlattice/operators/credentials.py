@@ -162,12 +162,13 @@ def allow_list(contents: str) -> tuple[list[tuple[str, str]], list[str]]:
     return rows, warnings
 
 
-def masked(text: Column, starts: Column) -> Column:
-    """ASCII text with the spans of a sorted array of (start, stop) replaced by the mark."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit(REDACTED)).alias("out"), s["stop"].alias("at"))
-    return F.aggregate(starts, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+def masked(text: Column, spans: Column) -> Column:
+    """A text with the spans of a sorted array of (start, stop), in bytes, replaced by the mark."""
+    data, mark = F.encode(text, "UTF-8"), F.encode(F.lit(REDACTED), "UTF-8")
+    zero = F.struct(F.encode(F.lit(""), "UTF-8").alias("out"), F.lit(0).cast("long").alias("at"))
+    piece = lambda a, b: F.substring(data, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    step = lambda acc, s: F.struct(F.concat(acc["out"], piece(acc["at"], s["start"]), mark).alias("out"), s["stop"].alias("at"))
+    return F.aggregate(spans, zero, step, lambda acc: F.decode(F.concat(acc["out"], F.substring(data, (acc["at"] + 1).cast("int"), F.lit(2147483647))), "UTF-8"))
 
 
 def counts(found: DataFrame) -> DataFrame:

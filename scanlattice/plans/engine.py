@@ -71,10 +71,10 @@ def credentials_by_language(spark, sf_dir):
     return files.select("path", "lang").join(found, "path", "left").groupBy("lang").agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_credentials"), F.max("bits").cast("string").alias("most_millibits"))
 
 
-@query(_FOUND_SQL + "SELECT path, sha256(regexp_replace(text, secret, '[REDACTED]')) AS masked FROM f JOIN (SELECT path, secret FROM found WHERE detector LIKE 'gitlab%') USING (path) WHERE regexp_matches(text, '^[ -~' || chr(10) || ']*$')")
+@query(_FOUND_SQL + "SELECT path, sha256(regexp_replace(text, secret, '[REDACTED]')) AS masked FROM f JOIN (SELECT path, secret FROM found WHERE detector LIKE 'gitlab%') USING (path)")
 def credential_masks(spark, sf_dir):
-    """Texts of ASCII (so that bytes are characters) with their last token masked."""
-    files = _sources(spark, sf_dir).where(F.col("text").rlike("^[ -~\n]*$"))
+    """Texts with their last token masked."""
+    files = _sources(spark, sf_dir)
     spans = credentials.detect(files, marker=_MARK).where("detector like 'gitlab%'").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     return files.join(spans, "path").select("path", F.sha2(credentials.masked(F.col("text"), F.col("spans")), 256).alias("masked"))
 
@@ -429,7 +429,7 @@ def knowledge_heads(spark, sf_dir):
     return state.knowledge_heads(table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("revision"), F.col("event_type").alias("text")))
 
 
-@query("""WITH q AS (SELECT 'q' || user_id AS question, g AS generation FROM (SELECT DISTINCT user_id FROM events), (VALUES (0::BIGINT), (1), (2)) v(g)), f AS (SELECT 'q' || user_id AS question, event_id % 9 AS generation, event_type AS answer, event_id % 2 = 0 AS seen FROM events WHERE event_type <> 'signup'),
+@query("""WITH q AS (SELECT 'q' || user_id AS question, g AS generation FROM (SELECT DISTINCT user_id FROM events), (VALUES (0::BIGINT), (1), (2)) v(g)), f AS (SELECT 'q' || user_id AS question, event_id % 9 AS generation, event_type AS answer, event_type = 'view' AS seen FROM events WHERE event_type <> 'signup'),
 p AS (SELECT question, generation, count(*) AS facts, count(*) FILTER (NOT seen) AS fresh, count(DISTINCT answer) AS answers FROM f GROUP BY ALL)
 SELECT question, generation, CASE WHEN facts IS NULL THEN 'awaiting_evidence' WHEN fresh > 0 THEN 'evidence_available' ELSE 'pending_after_revalidation' END AS state, coalesce(facts, 0) AS facts, coalesce(answers, 0) > 1 AS needs_adjudication FROM q LEFT JOIN p USING (question, generation)""")
 def pending_questions(spark, sf_dir):
@@ -437,7 +437,7 @@ def pending_questions(spark, sf_dir):
     name = F.concat(F.lit("q"), "user_id").alias("question")
     questions = events.select(name).distinct().select("question", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("generation"))
     facts = events.where("event_type != 'signup'").select(F.col("event_id").alias("fact"), name, (F.col("event_id") % 9).alias("generation"), F.col("event_type").alias("answer"))
-    return state.pending(questions, facts, facts.where("fact % 2 = 0").select("fact"))
+    return state.pending(questions, facts, facts.where("answer = 'view'").select("fact"))
 
 
 @query("""SELECT event_id AS sequence FROM events WHERE event_id % 97 = 6""")
@@ -574,7 +574,7 @@ def capped_markers(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT s_suppkey AS review, CASE s_suppkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'other' ELSE 'issue' END AS decision, ['critical', 'high', 'medium', 'unknown', 'low', 'note'][s_nationkey % 6 + 1] AS severity, CASE WHEN s_nationkey % 4 <> 0 THEN 'n' || s_nationkey % 9 END AS point, s_suppkey % 6 = 0 AS dormant FROM supplier),
-n AS (SELECT s_suppkey AS review, ['conflicting_evidence', 'control_applicability', 'missing_local_evidence', 'human_required'][s_suppkey % 4 + 1] AS reason FROM supplier WHERE s_suppkey % 3 <> 0),
+n AS (SELECT s_suppkey AS review, ['conflicting_evidence', 'control_applicability', 'missing_local_evidence', 'human_required'][s_suppkey % 4 + 1] AS reason FROM supplier WHERE s_acctbal > 2000),
 x AS (SELECT c.*, reason, decision = 'issue' AND dormant AS signal, CASE WHEN decision = 'other' THEN 'outside_verdict_scope' WHEN reason = 'human_required' THEN CASE WHEN decision = 'needs_review' THEN 'unavailable_deciding_fact' ELSE 'resolved_blocker_nomination' END WHEN reason IS NULL AND NOT (decision = 'issue' AND dormant) THEN 'no_actionable_nomination' END AS outcome FROM c LEFT JOIN n USING (review)),
 k AS (SELECT review, coalesce('p' || point, 'r' || review) AS key, row_number() OVER (ORDER BY NOT signal, CASE WHEN signal THEN 1 ELSE list_position(['conflicting_evidence', 'control_applicability', 'missing_local_evidence'], reason) END, list_position(['critical', 'high', 'medium', 'unknown', 'low', 'note'], severity), review) AS o FROM x WHERE outcome IS NULL),
 l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o) AS first FROM k), t AS (SELECT *, row_number() OVER (ORDER BY o) AS place FROM l WHERE first = 1), cap AS (SELECT least(20, ceil(count(*) FILTER (decision <> 'other') * 0.25)) AS n FROM c), y AS (SELECT review, key FROM t, cap WHERE place <= n)
@@ -585,7 +585,7 @@ def follow_up_claims(spark, sf_dir):
     dormant = k % 6 == 0
     rows = table(spark, sf_dir, "supplier")
     claims = rows.select(k.alias("review"), F.when(k % 5 == 0, "needs_review").when(k % 5 == 1, "other").otherwise("issue").alias("decision"), pick(queues.SEVERITIES, n % 6).alias("severity"), F.when(n % 4 != 0, F.concat(F.lit("n"), n % 9)).alias("point"), F.when(dormant, "application_path").alias("context_kind"), F.when(dormant, "dormant").alias("applicability"), F.lit(None).cast("string").alias("impact"))
-    notes = rows.where("s_suppkey % 3 != 0").select(k.alias("review"), pick((*queues.REASONS, "human_required"), k % 4).alias("reason"))
+    notes = rows.where("s_acctbal > 2000").select(k.alias("review"), pick((*queues.REASONS, "human_required"), k % 4).alias("reason"))
     return queues.select_follow_ups(claims, notes).select("review", "outcome")
 
 
@@ -608,7 +608,7 @@ def version_order(spark, sf_dir):
     return rows.withColumn("place", F.rank().over(Window.orderBy(T.semver(F.col("version")))).cast("long"))  # some dozens of versions
 
 
-_COMMENT_SQL = """WITH c AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS line, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'r' || (l_suppkey % 4) END AS rule, CASE WHEN l_linestatus = 'O' THEN greatest(l_linenumber - 1, 1) END AS st FROM lineitem WHERE l_partkey % 5 = 0),
+_COMMENT_SQL = """WITH c AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS line, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'r' || (l_suppkey % 4) END AS rule, CASE WHEN l_linestatus = 'O' THEN greatest(l_linenumber - 1, 1) END AS st FROM lineitem WHERE l_quantity > 40),
 m AS (SELECT key, coalesce(st, line + 1)::BIGINT AS line, rule FROM c), f AS (SELECT l_orderkey AS key, l_linenumber::BIGINT AS line, 'r' || (l_suppkey % 4) AS rule FROM lineitem)
 """
 
@@ -617,7 +617,7 @@ def _comments(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     line, name = F.col("l_linenumber").cast("long"), F.concat(F.lit("r"), F.col("l_suppkey") % 4)
     named = F.when(F.col("l_returnflag") != "R", F.array(name)).otherwise(F.array().cast("array<string>"))
-    comments = rows.where("l_partkey % 5 = 0").select(F.col("l_orderkey").alias("key"), line.alias("line"), named.alias("rules"), F.when(F.col("l_linestatus") == "O", F.greatest(line - 1, F.lit(1))).alias("statement_line"), F.lit(1).cast("long").alias("next_line"))
+    comments = rows.where("l_quantity > 40").select(F.col("l_orderkey").alias("key"), line.alias("line"), named.alias("rules"), F.when(F.col("l_linestatus") == "O", F.greatest(line - 1, F.lit(1))).alias("statement_line"), F.lit(1).cast("long").alias("next_line"))
     return rows.select(F.col("l_orderkey").alias("key"), line.alias("line"), name.alias("rule")), ledgers.marks_of(comments)
 
 
@@ -755,9 +755,9 @@ def enclosing_symbols(spark, sf_dir):
     return found.select("doc", "line", F.concat_ws(".", F.nullif(F.col("symbol.container"), F.lit("")), "symbol.name").alias("symbol")).withColumn("symbol", F.nullif("symbol", F.lit("")))
 
 
-@query("""WITH e AS (SELECT event_id AS id, event_type AS kind, user_id, value::INT AS start FROM events WHERE event_type = 'click' AND user_id < 20) SELECT id, user_id, start FROM e ORDER BY user_id, start, id LIMIT 50 OFFSET 50""")
+@query("""WITH e AS (SELECT event_id AS id, event_type AS kind, user_id, value::INT AS start FROM events WHERE event_type = 'click') SELECT id, user_id, start FROM e ORDER BY user_id, start, id LIMIT 50 OFFSET 50""")
 def evidence_page(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id", F.bround("value").cast("int").alias("start"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id", F.bround("value").cast("int").alias("start"))
     return lookups.page(lookups.where_equal(rows, kind="click", path=None), ["user_id", "start", "id"], 50, 50)[0].select("id", "user_id", "start")
 
 
