@@ -106,7 +106,8 @@ def scan(versions: DataFrame, text: str = "text", ledger: str | None = None, rul
 
 def open_ledger(spark, ledger: str) -> None:
     """Makes an empty ledger where there is none."""
-    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("ignore").parquet(ledger)
+    none = F.array().cast("array<struct<start:long,rank:int,stop:long,kind:string>>")
+    spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("rules_version"), none.alias("spans")).write.mode("ignore").parquet(ledger)
 
 
 def span_text(spans: Column) -> Column:
