@@ -167,8 +167,9 @@ def _calls(spark, sf_dir):
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("n"), (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b"), F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("f"))
-    call = F.format_string("t%d = price(%d, %d, qty=%d)", "n", "a", "b", "q")
-    line = F.when(F.col("f") == "R", F.concat(F.format_string("if flag(%d):\n    ", "n"), call)).otherwise(call)
+    a, b, q = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in "abq")
+    call = F.concat(F.lit("t"), "n", F.lit(" = price("), a, F.lit(", "), b, F.lit(", qty="), q, F.lit(")"))
+    line = F.when(F.col("f") == "R", F.concat(F.lit("if flag("), "n", F.lit("):\n    "), call)).otherwise(call)
     lines = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
     text = F.concat(F.lit("from shop.rates import price\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
     return lines.select(F.col("l_orderkey").cast("string").alias("path"), text.alias("text"))
@@ -176,13 +177,13 @@ def _calls(spark, sf_dir):
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, a::VARCHAR AS twice, count(*) AS n FROM l WHERE a = b GROUP BY ALL")
 def code_same_arguments(spark, sf_dir):
-    found = code.matches(_calls(spark, sf_dir), {"twice": "price($A, $A, $$$REST)"})
+    found = code.matches(_calls(spark, sf_dir), {"twice": "price($A, $A, $$$REST)"}, columns=["captures"])
     return found.groupBy("doc", F.col("captures")["A"]["text"].alias("twice")).agg(F.count("*").alias("n"))
 
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, count(*) FILTER (q = 7) AS exact, count(*) AS any_of FROM l GROUP BY l_orderkey")
 def code_strictness(spark, sf_dir):
-    found = code.matches(_calls(spark, sf_dir), {"exact": {"pattern": "price($_, $_, qty=7)", "strictness": "cst"}, "any_of": {"pattern": "price(1, 2, qty=3)", "strictness": "signature"}})
+    found = code.matches(_calls(spark, sf_dir), {"exact": {"pattern": "price($_, $_, qty=7)", "strictness": "cst"}, "any_of": {"pattern": "price(1, 2, qty=3)", "strictness": "signature"}}, columns=["rule"])
     return found.groupBy("doc").agg(F.count_if(F.col("rule") == "exact").alias("exact"), F.count_if(F.col("rule") == "any_of").alias("any_of"))
 
 

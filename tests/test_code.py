@@ -1,5 +1,7 @@
 """Code trees, patterns, rules, transforms and fixes on hand-made sources."""
 
+import tokenize
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,40 @@ def test_outline_imports_and_calls(tree):
     assert sorted(tuple(x or "" for x in r[2:]) for r in own.collect()) == sorted([("os.path", "", "os"), ("numpy", "", "np"), ("a.b", "c", "d"), ("a.b", "e", "e")])
     got = {(r["callee"], r["canonical"], tuple(r["arguments"])) for r in code.resolved(code.calls(tree), own).collect()}
     assert {("os.path.join", "os.path.join", ("x", "y")), ("np.load", "numpy.load", ("self.name",)), ("d", "a.b.c", ("x",)), ("range", "range", ("3",))} <= got
+
+
+@pytest.mark.parametrize(
+    "source, cut",
+    [
+        ("a = f(1)\na = f(1)\nif x:\n  a = f(1)\nelse:\n  # c\n  b\n# d\n\n@d\ndef g(): return 1; z\n", 4), ("x = [\n1,\n2]\ny\n", 1), ("x = '''\na\n'''\ny\n", 1), ("x \\\n= 1\ny\n", 1), ("def f():\n  a\n# c\n  b\nx\n", 2), ("try:\n  a\nexcept B:\n  b\nfinally:\n  c\né = 'ü'; é\nz", 3),
+        ("x\n@d(\n 1)\ndef f(): pass\n", 1), ("", 1), ("  # only\n", 1), ("x\r\ny\n", 1), ("match x:\n  case 1:\n    a\ncase(2)\n", 2),
+    ],
+)
+def test_parts_of_sources_are_the_source(source, cut):
+    split = code.parts(source)
+    assert len(split) == cut and "".join(p.text for p, *_ in split) == source
+    assert [list(r) for r in code._joined(source)] == code.rows(code.parse(source), source)
+
+
+def test_repeated_statements_are_parsed_once(monkeypatch):
+    code._PARTS.clear()
+    asked = []
+    parse = code.parse
+    monkeypatch.setattr(code, "parse", lambda text: asked.append(text) or parse(text))
+    for n in range(50):
+        code.parts(f"import os\nrun(1)\nrun({n % 2})\n")
+    assert sorted(asked) == ["import os\n", "run(0)\n", "run(1)\n"]
+    with pytest.raises((SyntaxError, tokenize.TokenError)):
+        code.parts("import os\nrun(\n")
+
+
+def test_matches_across_parts_have_the_places_of_the_source(spark):
+    text = "import os\nrun(1)\nif a:\n    x = run(1, 'é')\n\nrun(1)\n"
+    docs = spark.createDataFrame([("a", text), ("b", None), ("c", "run(")], "path string, text string")
+    rows = code.matches(docs, {"r": "run($$$A)"}).orderBy("start").collect()
+    tree = {(r["pre"], r["last"], r["start"], r["stop"], r["line"], r["text"]) for r in code.nodes(docs).where("doc = 'a' and kind = 'Call'").collect()}
+    assert {(r["pre"], r["last"], r["start"], r["stop"], r["line"], r["text"]) for r in rows} == tree and len(rows) == 3
+    assert all(text[c["start"] : c["stop"]] == c["text"] in ("1", "1, 'é'") for c in (r["captures"]["A"] for r in rows)) and [r["captures"]["A"]["indent"] for r in rows] == [0, 4, 0]
+    assert [r[:] for r in code.matches(docs, {"r": "run($$$A)"}, columns=["rule"]).collect()] == [("a", "r")] * 3
+    assert [len(r["found"]) for r in code.matched(docs, {"r": "run($$$A)"}).orderBy("path").collect()] == [3, 0, 0]
+    assert [r["text"] for r in code.matches(docs, {"r": "$A"}, columns=["pre", "text"]).where("pre = 0 and doc = 'a'").collect()] == [text]
