@@ -317,6 +317,72 @@ def applied(sources: DataFrame, changes: DataFrame, key: str = "path", text: str
     return joined.select(*[F.col(c) for c in sources.columns if c != text], F.when(F.col("edits").isNull(), F.col(text)).otherwise(done).alias(text))
 
 
+class _Fix:
+    """Texts with the fixes of a pattern's matches made, part by part: a fix depends on the captures of its match alone."""
+
+    def __init__(self, pattern: tuple, template: str, transforms: list[tuple[str, str, str]], place: int):
+        self.pattern, self.template, self.transforms, self.place = pattern, template, transforms, place
+
+    def by(self, captures: dict[str, dict]) -> str:
+        for name, source, case in self.transforms:
+            text = captures.get(source, {}).get("text", "")
+            captures[name] = {"text": getattr(text, case)(), "indent": 0}
+        out, at = [], 0
+        for m in _USE.finditer(self.template):
+            line = self.template[self.template.rfind("\n", 0, m.start()) + 1 : m.start()]
+            lead = line[: len(line) - len(line.lstrip())]
+            c = captures.get(m[1] or m[2], {"text": "", "indent": 0})
+            out += [self.template[at : m.start()], re.sub(f"\n[ \t]{{0,{c['indent']}}}", "\n" + lead, c["text"])]
+            at = m.end()
+        return "".join(out) + self.template[at:]
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        match, patterns = code._Match({"fix": self.pattern}, []), {"fix": code.Pattern(*self.pattern)}
+        whole = patterns["fix"].kind in (None, "Module")
+        key = ("fix", self.pattern, self.template, tuple(self.transforms))
+
+        def part_of(part: code.Part) -> str:
+            out, at = [], 0
+            for h in sorted(match.hits(part, patterns), key=lambda h: (h[3], -h[4])):
+                if h[3] >= at:
+                    out += [part.text[at : h[3]], self.by(dict(h[7]))]
+                    at = h[4]
+            return "".join(out) + part.text[at:]
+
+        def of(source: str | None) -> str | None:
+            try:
+                split = code.parts(source or "", whole)
+            except (SyntaxError, code.tokenize.TokenError, ValueError, RecursionError):
+                return source
+            out = []
+            for part, *_ in split:
+                if key not in part.kept:
+                    part.kept[key] = part_of(part)
+                out.append(part.kept[key])
+            return None if source is None else "".join(out)
+
+        for batch in batches:
+            texts = pa.array([of(x) for x in batch.column(self.place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == self.place else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def fixed(sources: DataFrame, pattern: str | dict, template: str, transforms: dict[str, dict] | None = None, text: str = "text") -> DataFrame:
+    """Sources with the fix of every match of one pattern made: applied(edits(transformed(matches))) in the pass that parses
+    them, for transforms to lower and upper case. Sources that do not parse, and those without a match, come back as they are."""
+    check_variables({"rule": {"pattern": pattern}, "transform": transforms or {}, "fix": template})
+    plain = []
+    for name in order(transforms or {}):
+        t = transforms[name]
+        if t.get("convert") not in ("lower", "upper"):
+            raise ValueError(f"transform {name}: only lower and upper go with the pass; use transformed, edits and applied")
+        plain.append((name, uses(t["source"])[0], t["convert"]))
+    code.ship(sources.sparkSession)
+    wanted = code._plain({"fix": next(iter(patterns_of({"pattern": pattern}).values()))})["fix"]
+    return sources.mapInArrow(_Fix(wanted, template, plain, sources.columns.index(text)), sources.schema)
+
+
 def rewritten(found: DataFrame, variable: str, parts: DataFrame, joiner: str | None = None) -> DataFrame:
     """(doc, pre, text): the capture with the edits inside it made, or, with a joiner, the edits' texts alone."""
     c = F.col("captures").getItem(variable)

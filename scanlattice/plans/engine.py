@@ -213,9 +213,7 @@ def rule_constraints_and_positions(spark, sf_dir):
 @query(_CODE_SQL + """SELECT l_orderkey::VARCHAR AS doc, sha256('from shop.rates import price' || chr(10) || string_agg(CASE WHEN f = 'R' THEN 'if flag(' || n || '):' || chr(10) || '    ' ELSE '' END || 't' || n || ' = cost(' || q || ', [' || a || ', ' || b || '])  # T' || n, chr(10) ORDER BY n) || chr(10)) AS patched FROM l GROUP BY l_orderkey""")
 def code_fixes(spark, sf_dir):
     sources = _calls(spark, sf_dir)
-    found = code.matches(sources, {"call": "$T = price($A, $B, qty=$Q)"})
-    found = rules.transformed(found, {"NAME": {"source": "$T", "convert": "upper"}})
-    patched = rules.applied(sources, rules.edits(found, "$T = cost($Q, [$A, $B])  # $NAME"))
+    patched = rules.fixed(sources, "$T = price($A, $B, qty=$Q)", "$T = cost($Q, [$A, $B])  # $NAME", {"NAME": {"source": "$T", "convert": "upper"}})
     return patched.select(F.col("path").alias("doc"), F.sha2("text", 256).alias("patched"))
 
 

@@ -234,3 +234,18 @@ def test_matches_across_parts_have_the_places_of_the_source(spark):
     assert [r[:] for r in code.matches(docs, {"r": "run($$$A)"}, columns=["rule"]).collect()] == [("a", "r")] * 3
     assert [len(r["found"]) for r in code.matched(docs, {"r": "run($$$A)"}).orderBy("path").collect()] == [3, 0, 0]
     assert [r["text"] for r in code.matches(docs, {"r": "$A"}, columns=["pre", "text"]).where("pre = 0 and doc = 'a'").collect()] == [text]
+
+
+def test_fixes_in_one_pass(spark, sources):
+    more = sources.unionByName(spark.createDataFrame([("nested.py", "g(g(1))\nif a:\n    g([\n        1,\n    ])\ng(2); g(3)\n"), (None, "g(4)\n")], "path string, text string"))
+    transforms = {"SHOUT": {"source": "$A", "convert": "upper"}}
+    for pattern, template in (("g($A)", "h($SHOUT,\n  $A)"), ("print($A)", "log($A)  # $SHOUT")):
+        found = rules.transformed(code.matches(more, rules.patterns_of({"pattern": pattern})), transforms)
+        want = {r["path"]: r["text"] for r in rules.applied(more, rules.edits(found, template)).collect() if r["path"]}
+        got = {r["path"]: r["text"] for r in rules.fixed(more, pattern, template, transforms).collect()}
+        assert got.pop(None) == ("h(4,\n  4)\n" if pattern[0] == "g" else "g(4)\n")
+        assert got == want and got["none.py"] is None and got["bad.py"] == "def ("
+    with pytest.raises(ValueError):
+        rules.fixed(more, "g($A)", "$B")
+    with pytest.raises(ValueError):
+        rules.fixed(more, "g($A)", "$S", {"S": {"source": "$A", "convert": "snake"}})
