@@ -219,8 +219,7 @@ def code_fixes(spark, sf_dir):
 
 @query(_CODE_SQL + """SELECT 'shop.rates.price' AS canonical, count(*) AS sites, sum(q)::BIGINT::VARCHAR AS quantity FROM l UNION ALL SELECT 'flag', count(*), NULL FROM l WHERE f = 'R'""")
 def code_call_sites(spark, sf_dir):
-    tree = _tree(spark, sf_dir)
-    sites = code.resolved(code.calls(tree), code.imports(tree))
+    sites = code.sites(_calls(spark, sf_dir), columns=["arguments", "canonical"])
     quantity = F.expr("try_cast(regexp_extract(element_at(arguments, -1), '^qty=([0-9]+)$', 1) as bigint)")
     return sites.groupBy("canonical").agg(F.count("*").alias("sites"), F.sum(quantity).cast("string").alias("quantity"))
 

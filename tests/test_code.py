@@ -249,3 +249,11 @@ def test_fixes_in_one_pass(spark, sources):
         rules.fixed(more, "g($A)", "$B")
     with pytest.raises(ValueError):
         rules.fixed(more, "g($A)", "$S", {"S": {"source": "$A", "convert": "snake"}})
+
+
+def test_sites_in_one_pass_are_those_of_the_node_table(spark, sources):
+    more = sources.unionByName(spark.createDataFrame([("m.py", "import a.b, c.d as e\nfrom  . x import (y as z,\n  w)\na.b.f(1, *p, k=2)\ne.g(\n  1)\nz(w(3))(4)\nfrom q import w\nw()\n")], "path string, text string"))
+    tree = code.nodes(more)
+    want, got = code.resolved(code.calls(tree), code.imports(tree)), code.sites(more)
+    order = lambda rows: sorted(map(str, rows.select("doc", *code.SITES).collect()))
+    assert order(got) == order(want) and got.count() > 12 and code.sites(more, columns=["method"]).columns == ["doc", "method"]
