@@ -6,6 +6,7 @@ in the pass that parses the sources; here they are a table too."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from functools import reduce
@@ -256,26 +257,30 @@ def transformed(found: DataFrame, transforms: dict[str, dict]) -> DataFrame:
     """Matches with the transforms' results among their captures. A transform: {source: $VAR, substring: [a, b]},
     {source, replace: [regex, by]}, {source, convert: case}."""
     for name in order(transforms):
-        t = transforms[name]
-        value = F.col("captures").getItem(uses(t["source"])[0])["text"]
-        if "substring" in t:
-            value = T.substring_range(value, *t["substring"])
-        elif "replace" in t:
-            value = F.regexp_replace(value, *t["replace"])
-        else:
-            value = T.convert(value, t["convert"])
-        made = F.map_from_arrays(F.array(F.lit(name)), F.array(F.struct(value.alias("text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(0).alias("indent"))))
-        found = found.withColumn("captures", F.map_concat("captures", made))
+        found = found.withColumn("captures", _with(F.col("captures"), name, transforms[name]))
     return found
 
 
-def interpolated(template: str, indented: bool = False) -> Column:
+def _with(captures: Column, name: str, t: dict) -> Column:
+    """Captures and the result of a transform."""
+    value = captures.getItem(uses(t["source"])[0])["text"]
+    if "substring" in t:
+        value = T.substring_range(value, *t["substring"])
+    elif "replace" in t:
+        value = F.regexp_replace(value, *t["replace"])
+    else:
+        value = T.convert(value, t["convert"])
+    made = F.map_from_arrays(F.array(F.lit(name)), F.array(F.struct(value.alias("text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(0).alias("indent"))))
+    return F.map_concat(captures, made)
+
+
+def interpolated(template: str, indented: bool = False, captures: Column | None = None) -> Column:
     """A template with `$VAR` and `$$$VAR` filled in; unknown variables are empty. indented: further lines of a
     capture move from the indent that they had to that of the template's line."""
     out, at = [], 0
     for m in _USE.finditer(template):
         line = template[template.rfind("\n", 0, m.start()) + 1 : m.start()]
-        c = F.col("captures").getItem(m[1] or m[2])
+        c = (F.col("captures") if captures is None else captures).getItem(m[1] or m[2])
         value = F.coalesce(c["text"], F.lit(""))
         if indented:
             lead = line[: len(line) - len(line.lstrip())]
@@ -425,14 +430,16 @@ def labels(found: DataFrame, named: dict[str, dict]) -> DataFrame:
     return found.withColumn("labels", F.filter(F.array(*spans), lambda x: x["start"].isNotNull()))
 
 
+def _allowed(c: dict, path: str) -> Column:
+    hit = reduce(lambda a, g: a | F.col(path).rlike(T.glob_regex(g)), c["files"], F.lit(False)) if c.get("files") else F.lit(True)
+    for g in c.get("ignores", []):
+        hit = hit & ~F.col(path).rlike(T.glob_regex(g))
+    return hit
+
+
 def applicable(paths: DataFrame, configs: list[dict], path: str = "path") -> DataFrame:
     """(path, rule): rules whose `files` has a glob of the path (all, if there is none) and whose `ignores` has none."""
-    tests = []
-    for c in configs:
-        hit = reduce(lambda a, g: a | F.col(path).rlike(T.glob_regex(g)), c["files"], F.lit(False)) if c.get("files") else F.lit(True)
-        for g in c.get("ignores", []):
-            hit = hit & ~F.col(path).rlike(T.glob_regex(g))
-        tests.append(F.when(hit, F.lit(c["id"])))
+    tests = [F.when(_allowed(c, path), F.lit(c["id"])) for c in configs]
     return paths.select(path, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("rule"))
 
 
@@ -441,6 +448,9 @@ def findings(sources: DataFrame, configs: list[dict], utilities: dict[str, dict]
     severity, files, ignores, utils}. A rule with one pattern at its top has captures for its message."""
     for c in configs:
         check_variables(c)
+    if tree is None:
+        with contextlib.suppress(ValueError):  # of rules that need a node table
+            return _in_one_pass(sources, configs, utilities, key, text)
     wanted = {n: p for c in configs for n, p in patterns_of([c["rule"], c.get("constraints", {}), c.get("utils", {}), utilities or {}]).items()}
     tree = code.nodes(sources, key, text) if tree is None else tree
     found = code.matches(sources, wanted, key, text) if wanted else None
@@ -456,3 +466,230 @@ def findings(sources: DataFrame, configs: list[dict], utilities: dict[str, dict]
         rows = hit.select("doc", F.lit(c["id"]).alias("rule"), F.lit(c.get("severity", "hint")).alias("severity"), interpolated(c.get("message", "")).alias("message"), "start", "stop", "line")
         out.append(rows)
     return reduce(DataFrame.unionByName, out).join(may, ["doc", "rule"], "left_semi").where("severity != 'off'")
+
+
+def _in_one_pass(sources: DataFrame, configs: list[dict], utilities: dict[str, dict] | None, key: str, text: str) -> DataFrame:
+    on = [c for c in configs if c.get("severity") != "off"]
+    if any(c.get("utils") for c in on) or not on:
+        raise ValueError("utilities of one rule need a node table")
+    found = hits(sources, {c["id"]: c for c in on}, utilities, key, text, ["rule", "start", "stop", "line", "captures"])
+    severity, message, may = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
+    for c in on:
+        own = F.col("rule") == c["id"]
+        captures = F.col("captures")
+        for name in order(c.get("transform", {})):
+            captures = _with(captures, name, c["transform"][name])
+        severity = F.when(own, c.get("severity", "hint")).otherwise(severity)
+        message = F.when(own, interpolated(c.get("message", ""), captures=captures)).otherwise(message)
+        may = F.when(own, _allowed(c, "doc")).otherwise(may)
+    return found.where(may).select("doc", "rule", severity.alias("severity"), message.alias("message"), "start", "stop", "line")
+
+
+# --- rules in the pass that parses -----------------------------------------------------------------
+
+
+class _Beyond(Exception):
+    """What is asked for lies outside of the part that is looked at."""
+
+
+_SIMPLE = re.compile(r"(?:[A-Za-z0-9_ ,:;=<>!@%&~#'\"`/-]|\^|\$|\||\((?:\?:)?|\)|[*+?](?![*+?])|\\[^A-Za-z0-9\s]|\[\^?[A-Za-z0-9_]+(?:-[A-Za-z0-9])?[A-Za-z0-9_]*\])*")
+
+
+def _regex(text: str) -> re.Pattern:
+    """An expression that means the same to Java and Python; ValueError for others."""
+    if not _SIMPLE.fullmatch(text):
+        raise ValueError(f"not for one pass: {text!r}")
+    return re.compile(re.sub(r"(?<!\\)\$", "(?=(?:\r\n|(?<!\r)\n|[\r\u0085\u2028\u2029])?\\\\Z)", text))
+
+
+class _Hits:
+    """Rules on a source: what a part decides alone is kept with it, the rest is asked again among its neighbours."""
+
+    def __init__(self, configs: dict[str, dict], utilities: dict[str, dict], columns: list[str]):
+        self.configs, self.u, self.columns = configs, Utilities(utilities), columns
+        self.whole, self.top, self.regexes = False, None, {}
+        self.patterns = {n: (p["pattern"], p.get("strictness", "smart"), p.get("selector")) for n, p in patterns_of([configs, utilities]).items()}
+        self.ready = {}
+
+    def check(self) -> None:
+        """ValueError for rules that need a node table: predicates of one's own and expressions of Java's own."""
+
+        def visit(spec) -> None:
+            for v in spec if isinstance(spec, list) else []:
+                visit(v)
+            for k, v in spec.items() if isinstance(spec, dict) else []:
+                if k == "where":
+                    raise ValueError("a predicate needs a node table")
+                if k == "regex":
+                    _regex(v)
+                elif k == "matches":
+                    visit(self.u.body(v))
+                elif k != "pattern":
+                    visit(v)
+
+        for c in self.configs.values():
+            for spec in (c["rule"], *c.get("constraints", {}).values()):
+                visit(spec)
+                self._known(spec)
+        for p in self.patterns.values():
+            code.Pattern(*p)
+
+    def _known(self, spec) -> None:
+        unknown = set(spec) - {*ATOMIC, *RELATIONAL, *COMPOSITE, "stopBy", "field"}
+        if unknown or not set(spec) & {*ATOMIC, *RELATIONAL, *COMPOSITE}:
+            raise ValueError(f"not a rule: {sorted(unknown) or spec}")
+
+    def never_module(self, spec: dict) -> bool:
+        return spec.get("kind", "Module") != "Module" or ("pattern" in spec and self.pattern(spec["pattern"]).kind not in (None, "Module")) or any(map(self.never_module, spec.get("all", []))) or ("any" in spec and all(map(self.never_module, spec["any"]))) or ("matches" in spec and self.never_module(self.u.body(spec["matches"])))
+
+    def pattern(self, v) -> code.Pattern:
+        name = _pattern_name(v)
+        if name not in self.ready:
+            self.ready[name] = code.Pattern(*self.patterns[name])
+        return self.ready[name]
+
+    def siblings(self, node, at: int) -> tuple[list, int]:
+        up = node.parent
+        if up is None:
+            return [(node, at)], 0
+        if up.parent is None and not self.whole:
+            if self.top is None:
+                raise _Beyond
+            return self.top, at + node.sib
+        return [(c, at) for c in up.children], node.sib
+
+    def test(self, spec: dict, node, at: int) -> bool:
+        if "kind" in spec and node.kind != spec["kind"]:
+            return False
+        if node.parent is None and not self.whole and set(spec) & {"regex", "range", "pattern", "nthChild", "has"}:
+            raise _Beyond
+        if "regex" in spec:
+            found = self.regexes.get(spec["regex"]) or self.regexes.setdefault(spec["regex"], _regex(spec["regex"]))
+            if not found.search(node.text):
+                return False
+        if "range" in spec:
+            if not self.whole:
+                raise _Beyond
+            (a, b), (c, d) = ((spec["range"][side]["line"], spec["range"][side]["column"]) for side in ("start", "end"))
+            if self.place(node.start) != (a, b) or self.place(node.stop) != (c, d):
+                return False
+        if "pattern" in spec and self.pattern(spec["pattern"]).match(node) is None:
+            return False
+        if "nthChild" in spec and not self.position(spec["nthChild"], node, at):
+            return False
+        for r in RELATIONAL:
+            if r in spec and not self.relation(r, spec[r], node, at):
+                return False
+        return all(self.test(x, node, at) for x in spec.get("all", [])) and ("any" not in spec or any(self.test(x, node, at) for x in spec["any"])) and ("not" not in spec or not self.test(spec["not"], node, at)) and ("matches" not in spec or self.test(self.u.body(spec["matches"]), node, at))
+
+    def position(self, spec, node, at: int) -> bool:
+        spec = spec if isinstance(spec, dict) else {"position": spec}
+        step, offset = (0, spec["position"]) if isinstance(spec["position"], int) else selectors._position(spec["position"])
+        fits = lambda x, k: x.named and ("ofRule" not in spec or self.test(spec["ofRule"], x, k))
+        if not fits(node, at):
+            return False
+        among, own = self.siblings(node, at)
+        n = 1 + sum(fits(*x) for x in (among[own + 1 :] if spec.get("reverse") else among[:own]))
+        return n == offset if step == 0 else (n - offset) % step == 0 and (n - offset) / step >= 0
+
+    def relation(self, relation: str, spec: dict, node, at: int) -> bool:
+        stop, field = spec.get("stopBy", "neighbor"), spec.get("field")
+        rest = {k: v for k, v in spec.items() if k not in ("stopBy", "field")}
+        fits = lambda x, k: not rest or self.test(rest, x, k)
+        if relation in ("precedes", "follows"):
+            among, own = self.siblings(node, at)
+            for x in among[own + 1 :] if relation == "precedes" else reversed(among[:own]):
+                if fits(*x):
+                    return True
+                if stop == "neighbor" or (stop != "end" and self.test(stop, *x)):
+                    return False
+            return False
+        if relation == "inside":
+            below, above = node, node.parent
+            while above is not None:
+                if (field is None or below.field == field) and fits(above, at):
+                    return True
+                if stop == "neighbor" or (field is None and stop != "end" and self.test(stop, above, at)):
+                    return False
+                below, above = above, above.parent
+            return False
+        stack = [c for c in reversed(node.children) if field is None or c.field == field]
+        while stack:
+            x = stack.pop()
+            if fits(x, at):
+                return True
+            if stop != "neighbor" and not (field is None and stop != "end" and self.test(stop, x, at)):
+                stack.extend(reversed(x.children))
+        return False
+
+    def hit(self, name: str, part, k: int, at: int) -> tuple | None:
+        c, node = self.configs[name], part.numbered[k]
+        if not self.test(c["rule"], node, at):
+            return None
+        env = {}
+        if "pattern" in c["rule"]:
+            env = {x: code._capture(v, part.text) for x, v in self.pattern(c["rule"]["pattern"]).match(node).items()}
+            for x, spec in c.get("constraints", {}).items():
+                span = (env[x]["start"], env[x]["stop"]) if x in env else (None, None)
+                if span == (0, len(part.text)) and not self.whole:
+                    raise _Beyond
+                if not any((n.start, n.stop) == span and self.test(spec, n, at) for n in part.numbered):
+                    return None
+        return name, k, part.lasts[k], node.start, node.stop, part.line(node), node.text, list(env.items())
+
+    def of(self, source: str, key, whole: bool) -> list[tuple]:
+        split = code.parts(source, whole)
+        self.whole, self.top, out = split[0][0].whole, None, []
+        if self.whole:
+            self.place = code._positions(source)
+            part = split[0][0]
+            return code.placed([h for n in self.configs for k in range(part.size) if (h := self.hit(n, part, k, 0))], 0, 0, 0)
+        for part, *_ in split:
+            if key not in part.kept:
+                sure, open_ = [], []
+                for n in self.configs:
+                    for k in range(part.size):
+                        try:
+                            h = self.hit(n, part, k, 0)
+                            sure += [h] if h else []
+                        except _Beyond:
+                            open_.append((n, k))
+                part.kept[key] = (sure, open_)
+        self.top = [(node, place) for part, _, _, _, place in split for node in part.root.children]
+        try:
+            for part, start, line, pre, place in split:
+                sure, open_ = part.kept[key]
+                hits = sure + [h for n, k in open_ if (h := self.hit(n, part, k, place))]
+                if hits:
+                    out += code.placed(hits, start, line, pre)
+            return out
+        except _Beyond:
+            return self.of(source, key, True)
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        whole = not all(self.never_module(c["rule"]) for c in self.configs.values())
+        key = ("rules", json.dumps([self.configs, self.u.rules], sort_keys=True))
+        for batch in batches:
+            docs, out = [], []
+            for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    hits = self.of(source or "", key, whole)
+                except (SyntaxError, code.tokenize.TokenError, ValueError, RecursionError):
+                    continue
+                docs += [doc] * len(hits)
+                out += hits
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), *code.found_columns(out, self.columns)], ["doc", *self.columns])
+
+
+def hits(sources: DataFrame, configs: dict[str, dict], utilities: dict[str, dict] | None = None, key: str = "path", text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """(doc, rule, pre, last, start, stop, line, text, captures) of the nodes that meet rules {rule, constraints}, as Engine.nodes and
+    Engine.captured find them, in the pass that parses the sources: no node table and no join. ValueError for rules that need
+    one: predicates of one's own, expressions that Java and Python may read differently. columns: those wanted besides doc."""
+    columns = list(code._FOUND) if columns is None else columns
+    f = _Hits({n: {"rule": c["rule"], "constraints": c.get("constraints", {})} for n, c in configs.items()}, utilities or {}, columns)
+    f.check()
+    f.ready = {}
+    code.ship(sources.sparkSession)
+    return sources.select(F.col(key).cast("string"), text).mapInArrow(f, code.schema_of(["doc", *columns]))

@@ -193,21 +193,18 @@ def _tree(spark, sf_dir):
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, count(*) FILTER (f = 'R') AS inside, count(*) FILTER (f <> 'R') AS outside FROM l GROUP BY l_orderkey")
 def rule_calls_inside_if(spark, sf_dir):
-    engine = rules.Engine(_tree(spark, sf_dir), None, {"price": {"kind": "Call", "regex": "^price"}, "within": {"arguments": ["KIND"], "rule": {"inside": {"kind": "$KIND", "stopBy": "end"}}}})
-    inside = engine.nodes({"all": [{"matches": "price"}, {"matches": {"name": "within", "KIND": "If"}}]}).select("doc", F.lit("inside").alias("w"))
-    outside = engine.nodes({"matches": "price", "not": {"inside": {"kind": "If", "stopBy": "end"}}}).select("doc", F.lit("outside").alias("w"))
-    return inside.unionByName(outside).groupBy("doc").agg(F.count_if(F.col("w") == "inside").alias("inside"), F.count_if(F.col("w") == "outside").alias("outside"))
+    utilities = {"price": {"kind": "Call", "regex": "^price"}, "within": {"arguments": ["KIND"], "rule": {"inside": {"kind": "$KIND", "stopBy": "end"}}}}
+    specs = {"inside": {"all": [{"matches": "price"}, {"matches": {"name": "within", "KIND": "If"}}]}, "outside": {"matches": "price", "not": {"inside": {"kind": "If", "stopBy": "end"}}}}
+    found = rules.hits(_calls(spark, sf_dir), {n: {"rule": r} for n, r in specs.items()}, utilities, columns=["rule"])
+    return found.groupBy("doc").agg(*[F.count_if(F.col("rule") == n).alias(n) for n in specs])
 
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, n::INT AS place, q::VARCHAR AS value FROM l WHERE n % 2 = 1 AND a > 1 AND f <> 'R'")
 def rule_constraints_and_positions(spark, sf_dir):
     sources = _calls(spark, sf_dir)
-    tree = written(code.nodes(sources), "nodes")
-    pattern = "$T = price($A, $B, qty=$Q)"
-    engine = rules.Engine(tree, code.matches(sources, rules.patterns_of({"pattern": pattern})))
-    found = engine.captured(pattern, {"A": {"regex": "^[23]$"}, "T": {"regex": "[13579]$"}})
-    top = engine.nodes({"kind": "Assign", "not": {"inside": {"kind": "If"}}}).select("doc", "pre")
-    return found.join(top, ["doc", "pre"], "left_semi").select("doc", F.substring(F.col("captures")["T"]["text"], 2, 9).cast("int").alias("place"), F.col("captures")["Q"]["text"].alias("value"))
+    rule = {"kind": "Assign", "pattern": "$T = price($A, $B, qty=$Q)", "not": {"inside": {"kind": "If"}}}
+    found = rules.hits(sources, {"odd": {"rule": rule, "constraints": {"A": {"regex": "^[23]$"}, "T": {"regex": "[13579]$"}}}}, columns=["captures"])
+    return found.select("doc", F.substring(F.col("captures")["T"]["text"], 2, 9).cast("int").alias("place"), F.col("captures")["Q"]["text"].alias("value"))
 
 
 @query(_CODE_SQL + """SELECT l_orderkey::VARCHAR AS doc, sha256('from shop.rates import price' || chr(10) || string_agg(CASE WHEN f = 'R' THEN 'if flag(' || n || '):' || chr(10) || '    ' ELSE '' END || 't' || n || ' = cost(' || q || ', [' || a || ', ' || b || '])  # T' || n, chr(10) ORDER BY n) || chr(10)) AS patched FROM l GROUP BY l_orderkey""")
@@ -722,14 +719,9 @@ def rule_siblings(spark, sf_dir):
         "precedes": {"kind": "Assign", "precedes": {"kind": "If"}}, "follows": {"kind": "Assign", "follows": {"kind": "If"}}, "follows_any": {"kind": "Assign", "follows": {"kind": "If", "stopBy": "end"}}, "has": {"kind": "If", "has": {"pattern": "price(1, $$$)", "stopBy": "end"}},
         "last": {"any": [{"kind": "Assign"}, {"kind": "If"}], "inside": {"kind": "Module"}, "nthChild": {"position": 1, "reverse": True}},
     }
-    found = code.matches(sources, rules.patterns_of(list(specs.values())))
-    engine = rules.Engine(_tree(spark, sf_dir), found)
-    rows = None
-    for name, spec in specs.items():
-        part = engine.nodes(spec).select("doc", F.lit(name).alias("w"))
-        rows = part if rows is None else rows.unionByName(part)
-    docs = sources.select(F.col("path").alias("doc"))
-    return docs.join(rows, "doc", "left").groupBy("doc").agg(*[F.count_if(F.col("w") == n).alias(n) for n in specs])
+    # Sources without a hit are counted too.
+    found = rules.hits(sources, {n: {"rule": r} for n, r in specs.items()}, columns=["rule"]).unionByName(sources.select(F.col("path").alias("doc"), F.lit("").alias("rule")))
+    return found.groupBy("doc").agg(*[F.count_if(F.col("rule") == n).alias(n) for n in specs])
 
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, 'twice' AS rule, 'warning' AS severity, 'price of ' || a || ' twice, at ' || q AS message, count(*) AS n FROM l WHERE a = b AND l_orderkey % 10 IN (1, 2) GROUP BY ALL UNION ALL SELECT l_orderkey::VARCHAR, 'branch', 'hint', 'a branch', count(*) FROM l WHERE f = 'R' AND NOT starts_with(l_orderkey::VARCHAR, '1') GROUP BY ALL")
@@ -738,7 +730,7 @@ def rule_findings(spark, sf_dir):
     configs = [
         {"id": "twice", "rule": {"pattern": "price($A, $A, qty=$Q)"}, "severity": "warning", "message": "price of $A twice, at $Q", "files": ["*1", "*2"]}, {"id": "branch", "rule": {"kind": "If"}, "message": "a branch", "ignores": ["1*"]}, {"id": "off", "rule": {"kind": "Call"}, "severity": "off"},
     ]
-    return rules.findings(sources, configs, tree=_tree(spark, sf_dir)).groupBy("doc", "rule", "severity", "message").agg(F.count("*").alias("n"))
+    return rules.findings(sources, configs).groupBy("doc", "rule", "severity", "message").agg(F.count("*").alias("n"))
 
 
 @query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), p AS (SELECT *, k FROM o, (SELECT unnest(range(0, 6)) AS k))

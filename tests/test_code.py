@@ -257,3 +257,43 @@ def test_sites_in_one_pass_are_those_of_the_node_table(spark, sources):
     want, got = code.resolved(code.calls(tree), code.imports(tree)), code.sites(more)
     order = lambda rows: sorted(map(str, rows.select("doc", *code.SITES).collect()))
     assert order(got) == order(want) and got.count() > 12 and code.sites(more, columns=["method"]).columns == ["doc", "method"]
+
+
+def test_rules_in_one_pass_are_those_of_the_node_table(spark, sources, tree):
+    b = "a = 1\nb = 2\nif c:\n    a = p(1, 2)\n    b = p(2)\n# x\na = p(1)\n\nif d:\n    pass\nb = 2\nb = 2\n"
+    more = sources.unionByName(spark.createDataFrame([("s.py", b), ("w.py", "x = '''\n'''\n" + b), ("one.py", "a")], "path string, text string"))
+    nodes = code.nodes(more).localCheckpoint()
+    utilities = {"call": {"kind": "Call", "regex": "^p"}, "within": {"arguments": ["KIND"], "rule": {"inside": {"kind": "$KIND", "stopBy": "end"}}}}
+    assign = {"kind": "Assign"}
+    specs = [
+        {"kind": "Call", "regex": "^p"}, {"matches": "call", "not": {"inside": {"kind": "If"}}}, {"matches": {"name": "within", "KIND": "If"}, "kind": "Call"}, {**assign, "precedes": {"kind": "If"}}, {**assign, "follows": {"kind": "If", "stopBy": "end"}}, {**assign, "follows": {"kind": "If", "stopBy": {"regex": "^b"}}},
+        {**assign, "nthChild": {"position": "2n+1", "ofRule": assign}}, {"any": [assign, {"kind": "If"}], "inside": {"kind": "Module"}, "nthChild": {"position": 1, "reverse": True}}, {"kind": "If", "has": {"pattern": "p(1, $$$)", "stopBy": "end"}}, {"kind": "FunctionDef", "has": {"kind": "Call", "regex": "^print", "stopBy": {"kind": "If"}}},
+        {"kind": "Compare", "inside": {"kind": "If", "field": "test"}}, {"kind": "Call", "inside": {"kind": "Module", "has": {"kind": "Pass", "stopBy": "end"}, "stopBy": "end"}}, {"regex": "^a$"}, {"kind": "Module"}, {"kind": "If", "range": {"start": {"line": 2, "column": 0}, "end": {"line": 4, "column": 12}}}, {"kind": "Call", "inside": {"kind": "ClassDef", "stopBy": {"kind": "If"}}},
+    ]
+    engine = rules.Engine(nodes, code.matches(more, rules.patterns_of(specs)), utilities)
+    got = {}
+    for r in rules.hits(more, {str(k): {"rule": s} for k, s in enumerate(specs)}, utilities).collect():
+        got.setdefault(int(r["rule"]), []).append((r["doc"], r["pre"], r["last"], r["start"], r["stop"], r["line"], r["text"]))
+    for k, s in enumerate(specs):
+        want = sorted(tuple(r) for r in engine.nodes(s).select("doc", "pre", "last", "start", "stop", "line", "text").collect())
+        assert sorted(got.get(k, [])) == want and want, s
+    pattern, constraints = "$A = $B", {"A": {"regex": "^[ax]$"}, "B": {"kind": "Call"}}
+    found = rules.Engine(nodes, code.matches(more, rules.patterns_of({"pattern": pattern}))).captured(pattern, constraints)
+    one = rules.hits(more, {"r": {"rule": {"pattern": pattern}, "constraints": constraints}})
+    order = lambda rows: sorted((r["doc"], r["pre"], str(sorted(r["captures"].items()))) for r in rows.collect())
+    assert order(one) == order(found) and one.count() == 4
+    for bad in ({"kind": "Call", "where": len}, {"regex": r"\p{L}"}, {"nope": 1}, {"matches": "absent"}):
+        with pytest.raises(ValueError):
+            rules.hits(more, {"r": {"rule": bad}}, utilities)
+
+
+def test_findings_in_one_pass_are_those_of_the_node_table(spark, sources):
+    configs = [
+        {"id": "same", "rule": {"pattern": "$A == $A"}, "transform": {"B": {"source": "$A", "replace": ["x", "y"]}}, "message": "$A twice, or $B", "severity": "error"}, {"id": "elsewhere", "rule": {"kind": "Call"}, "files": ["lib/**"]}, {"id": "ignored", "rule": {"kind": "Call"}, "ignores": ["pkg/*"]},
+        {"id": "off", "rule": {"kind": "Call"}, "severity": "off"}, {"id": "here", "rule": {"matches": "leaving"}, "files": ["pkg/*.py"], "message": "leaves"},
+    ]
+    utilities = {"leaving": {"kind": "Return"}}
+    want, got = rules.findings(sources, configs, utilities, tree=code.nodes(sources)), rules.findings(sources, configs, utilities)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") < want._jdf.queryExecution().toString().count("MapInArrow")
