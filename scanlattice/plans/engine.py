@@ -702,10 +702,7 @@ def source_scans(spark, sf_dir):
     ]
     body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("o_orderkey") % 6).cast("int") + 1)
     sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.concat(F.lit("from dblib import quote as q\n\ndef f(db):\n    "), body, F.lit("\n")).alias("text"))
-    tree = written(code.nodes(sources), "nodes")
-    evidence = written(scanning.scan(sources, _SCAN_RULES, tree), "evidence")
-    paths = relations.security_paths(evidence, relations.catalog(spark, [_SCAN_RELATION], scanning.roles(_SCAN_RULES)), scanning.reached(evidence, scanning.assignments(tree)))
-    return paths.select("path", "state")
+    return scanning.paths(sources, _SCAN_RULES, [_SCAN_RELATION]).select("path", "state")
 
 
 _SIBLING_SQL = _CODE_SQL.rstrip()[:-1] + """), s AS (SELECT *, lead(f) OVER w AS nf, lag(f) OVER w AS pf, max(CASE WHEN f = 'R' THEN n END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_if, count(*) OVER (PARTITION BY l_orderkey) AS total FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))

@@ -171,3 +171,59 @@ def test_modules_and_links(spark):
     opened = spark.createDataFrame([("1", "a", "f", "g"), ("2", "b", "f", "g"), ("3", "c", "f", "h")], "id string, symbol string, path string, function string")
     closed = spark.createDataFrame([("a", None), ("b", "g"), ("c", "g")], "symbol string, function string")
     assert [r["id"] for r in facts.unreleased(opened, closed).collect()] == ["3"]
+
+
+MORE = '''import subprocess
+from flask import request
+from dblib.safe import quote
+u = v = request.args.get("m")
+db.execute(v + "x")
+w = "a" + u
+subprocess.run(w)
+class Box:
+    @wrap("x")
+    def put(self):
+        a = request.args.get("é")
+        def inner():
+            b = request.args.get("f")
+            subprocess.run(b, a)
+        if a:
+            a = "none"
+        db.execute(a)
+    async def get(self): a, b = request.args.get("g"), 1; c = a; db.execute(quote(request.args.get(c)))
+
+def long():
+    x = request.args.get("h")
+    x = x + "1"
+    a = x
+    b = a
+    c = b
+    db.execute(c)
+    d = c
+    db.execute(d)
+'''
+
+
+def test_paths_in_one_pass_equal_those_of_the_tables(spark):
+    sources = spark.createDataFrame([("a.py", SOURCE), ("b.py", MORE), ("c.py", MORE.replace("from flask import request\n", "") + SOURCE), ("d.py", SOURCE + MORE), ("e.py", "def ("), ("f.py", None), ("g.py", SOURCE)], "path string, text string")
+    contracts = [*RELATIONS, RELATIONS[0] | {"id": "same", "protection": {"capability": "quoting", "application": "related_capture", "relation_role": "query"}}]
+    tree = code.nodes(sources).cache()
+    evidence = scanning.scan(sources, RULES, tree).cache()
+    slow = relations.security_paths(evidence, relations.catalog(spark, contracts, scanning.roles(RULES)), scanning.reached(evidence, scanning.assignments(tree)))
+    fast = scanning.paths(sources, RULES, contracts)
+    assert fast.dtypes == slow.dtypes
+    by = {r["id"]: r for r in slow.collect()}
+    found = fast.collect()
+    assert len(found) == len(by) and {r["id"]: r for r in found} == by
+    assert {r["state"] for r in found} == {"direct", "protected", "propagated"} and {r["hops"] for r in found} >= {0, 1, 4} and len({r["path"] for r in found}) == 5
+    deep = relations.security_paths(evidence, relations.catalog(spark, contracts), scanning.reached(evidence, scanning.assignments(tree), 2))
+    assert sorted(r["id"] for r in scanning.paths(sources, RULES, contracts, 2).collect()) == sorted(r["id"] for r in deep.collect()) != sorted(by)
+    with pytest.raises(ValueError):
+        scanning.paths(sources, RULES, [RELATIONS[0] | {"strategy": "none"}])
+
+
+def test_source_scans_have_no_joins(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["source_scans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
