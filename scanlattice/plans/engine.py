@@ -163,16 +163,17 @@ _CODE_SQL = """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_o
 
 def _calls(spark, sf_dir):
     """A source for each order: an import and a statement for each item, those of returned ones inside an `if`."""
-    from pyspark.sql import Window
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey")  # dealt out once, before lists are made
+    items = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"))).alias("items"))
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("n"), (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b"), F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("f"))
-    a, b, q = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in "abq")
-    call = F.concat(F.lit("t"), "n", F.lit(" = price("), a, F.lit(", "), b, F.lit(", qty="), q, F.lit(")"))
-    line = F.when(F.col("f") == "R", F.concat(F.lit("if flag("), "n", F.lit("):\n    "), call)).otherwise(call)
-    lines = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
-    text = F.concat(F.lit("from shop.rates import price\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return lines.select(F.col("l_orderkey").cast("string").alias("path"), text.alias("text"))
+    def line(x, at):
+        n = (at + 1).cast("string")
+        a, b, q = (F.coalesce(v.cast("string"), F.lit("null")) for v in (x["l_partkey"] % 4, x["l_suppkey"] % 4, x["l_quantity"].cast("long")))
+        call = F.concat(F.lit("t"), n, F.lit(" = price("), a, F.lit(", "), b, F.lit(", qty="), q, F.lit(")"))
+        return F.when(x["l_returnflag"] == "R", F.concat(F.lit("if flag("), n, F.lit("):\n    "), call)).otherwise(call)
+
+    text = F.concat(F.lit("from shop.rates import price\n"), F.array_join(F.transform("items", line), "\n"), F.lit("\n"))
+    return items.select(F.col("l_orderkey").cast("string").alias("path"), text.alias("text"))
 
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, a::VARCHAR AS twice, count(*) AS n FROM l WHERE a = b GROUP BY ALL")
@@ -183,8 +184,8 @@ def code_same_arguments(spark, sf_dir):
 
 @query(_CODE_SQL + "SELECT l_orderkey::VARCHAR AS doc, count(*) FILTER (q = 7) AS exact, count(*) AS any_of FROM l GROUP BY l_orderkey")
 def code_strictness(spark, sf_dir):
-    found = code.matches(_calls(spark, sf_dir), {"exact": {"pattern": "price($_, $_, qty=7)", "strictness": "cst"}, "any_of": {"pattern": "price(1, 2, qty=3)", "strictness": "signature"}}, columns=["rule"])
-    return found.groupBy("doc").agg(F.count_if(F.col("rule") == "exact").alias("exact"), F.count_if(F.col("rule") == "any_of").alias("any_of"))
+    found = code.counted(_calls(spark, sf_dir), {"exact": {"pattern": "price($_, $_, qty=7)", "strictness": "cst"}, "any_of": {"pattern": "price(1, 2, qty=3)", "strictness": "signature"}})
+    return found.where("exact > 0 or any_of > 0")
 
 
 def _tree(spark, sf_dir):

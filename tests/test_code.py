@@ -1,5 +1,7 @@
 """Code trees, patterns, rules, transforms and fixes on hand-made sources."""
 
+import itertools
+import re
 import tokenize
 
 import pytest
@@ -297,3 +299,31 @@ def test_findings_in_one_pass_are_those_of_the_node_table(spark, sources):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3
     plan = got._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.count("MapInArrow") < want._jdf.queryExecution().toString().count("MapInArrow")
+
+
+def test_counts_of_each_source_equal_its_matches(spark):
+    texts = ["f(1)\nf(2)\n", "@w\n@v\ndef g(x):\n    return f(x)\nf(3)", "if f(1):\n    f(2)\nelse:\n    f(3)\n", "a = '''\nf(9)\n'''\nf(1)", "f(1) \\\n  + f(2)\nf(1)\n", "f(", "", None, "# f(1)\nf(2)  # f(3)\n", "x = 1\r\nf(4)\n"]
+    sources = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts * 2)], "path string, text string").repartition(1)
+    patterns = {"any": "f($A)", "one": {"pattern": "f(1)", "strictness": "cst"}}
+    counts = code.counted(sources, patterns)
+    assert counts.dtypes == [("doc", "string"), ("any", "bigint"), ("one", "bigint")]
+    got = sorted(map(tuple, counts.collect()))
+    found = code.matches(sources, patterns).collect()
+    assert got == sorted((str(k), *(sum(r["doc"] == str(k) and r["rule"] == n for r in found) for n in patterns)) for k in range(2 * len(texts)))
+    assert [x[1:] for x in sorted(got, key=lambda x: int(x[0]))[:10]] == [(2, 1), (2, 0), (3, 1), (1, 1), (3, 2), (0, 0), (0, 0), (0, 0), (1, 0), (1, 0)]
+
+
+def test_cuts_stand_where_statements_begin():
+    begin = re.compile(r"^(?:@[^\n]*\n)*(?!elif\b|else\b|except\b|finally\b)[^\s#)\]}]", re.M)
+    lines = ["a = 1", "@w", "", "# c", "  b", "else:", "elsewhere()", ")", "def f():", "finally", "\tx"]
+    for chosen in itertools.product(lines, repeat=4):
+        source = "\n".join(chosen)
+        cuts = [m.start() for m in begin.finditer(source)][1:]
+        assert code._cut(source) == [source[a:b] for a, b in zip([0, *cuts], [*cuts, len(source)])]
+
+
+def test_code_strictness_deals_sources_out_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["code_strictness"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
